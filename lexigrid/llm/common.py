@@ -53,8 +53,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
+    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def words_of(text: Column) -> Column:
