@@ -11,6 +11,7 @@ table gives an empty result; columns of other names pass through ``quality_filte
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,80 +22,98 @@ from lexigrid.llm.common import staged, words_of
 #: Bits of a sort key that hold a window's place in its text.
 PLACE = 28
 
+Feature = Callable[[str], Column]
+
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: an SQL condition over features; needs: the features that it reads, beside n_words."""
+    """rejects: the condition under which a text is rejected, given a function from a feature's name to its column."""
 
     name: str
-    rejects: str
-    needs: tuple[str, ...] = ()
+    rejects: Callable[[Feature], Column]
 
 
 RULES = (
-    Rule("few_words", "n_words < 50"),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", ("n_repeat_words",)),
-    Rule("symbols", "10 * n_symbols > n_words", ("n_symbols",)),
-    Rule("shouting", "2 * n_upper > word_chars", ("n_upper", "word_chars")),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines", ("n_dup_lines", "n_lines")),
-    Rule("word_length", "word_chars not between 2 * n_words and 20 * n_words", ("word_chars",)),
-    Rule("few_letters", "10 * n_letters < 6 * word_chars", ("n_letters", "word_chars")),
+    Rule("few_words", lambda f: f("n_words") < 50),
+    Rule("repeated_words", lambda f: 100 * f("n_repeat_words") > 50 * f("n_words")),
+    Rule("symbols", lambda f: 10 * f("n_symbols") > f("n_words")),
+    Rule("shouting", lambda f: 2 * f("n_upper") > f("word_chars")),
+    Rule("repeated_lines", lambda f: 2 * f("n_dup_lines") > f("n_lines")),
+    Rule("word_length", lambda f: ~f("word_chars").between(2 * f("n_words"), 20 * f("n_words"))),
+    Rule("few_letters", lambda f: 10 * f("n_letters") < 6 * f("word_chars")),
 )
 #: The two rules of which base_failed consists.
 BASE = ("few_words", "repeated_words")
 
 
-def _left(pattern: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more in the text.
+
+    Each window's hash, cut to its upper bits and joined with its place, is sorted as a plain long; equal windows are
+    then neighbours, which the full hashes confirm. The union of windows of width 3 is a sum over the gaps of places.
+    """
+    mask, zero = (1 << PLACE) - 1, F.lit(0).cast("long")
+    count = F.greatest(F.size(words) - 2, F.lit(0))
+    hashes = F.transform(F.arrays_zip(*(F.slice(words, k, count) for k in (1, 2, 3))), lambda x: F.xxhash64(x))
+    key = lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
+    place = lambda x: x.bitwiseAND(F.lit(mask))
+
+    def of_places(p: Column) -> Column:
+        gaps = F.zip_with(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(F.lit(3).cast("long"), b - a))
+        return F.when(F.size(p) < 1, zero).otherwise(F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x))
+
+    def of_keys(h: Column) -> Callable[[Column], Column]:
+        def body(k: Column) -> Column:
+            full = lambda x: F.get(h, place(x).cast("int"))
+            like = lambda x, other: F.coalesce(full(x) == full(other), F.lit(False))
+            twice = F.filter(k, lambda x, i: like(x, F.get(k, i - 1)) | like(x, F.get(k, i + 1)))
+            return _let(F.sort_array(F.transform(twice, place)), of_places)
+
+        return body
+
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(F.sort_array(F.transform(h, key)), of_keys(h))).otherwise(zero)
+    return F.when(F.size(words) < 4, zero).otherwise(_let(hashes, some))
+
+
+def _left(text: Column, pattern: str) -> Column:
     """Characters of the text that remain when the runs of pattern go."""
-    return F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), pattern, "")).cast("long")
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def _lines() -> Column:
-    return F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+#: Features of a text and its words.
 FEATURES = {
-    "n_symbols": lambda: _left(r"[^#*$%&|<>]+"),
-    "n_upper": lambda: _left(r"[^\p{Lu}]+"),
-    "n_letters": lambda: _left(r"[^\p{L}]+"),
-    "word_chars": lambda: F.length(F.array_join("_w", "")).cast("long"),
-    "n_lines": lambda: F.size(_lines()).cast("long"),
-    "n_dup_lines": lambda: (F.size(_lines()) - F.size(F.array_distinct(_lines()))).cast("long"),
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: F.length(F.array_join(words, "")).cast("long"),
+    "n_symbols": lambda text, words: _left(text, r"[^#*$%&|<>]+"),
+    "n_upper": lambda text, words: _left(text, r"[^\p{Lu}]+"),
+    "n_letters": lambda text, words: _left(text, r"[^\p{L}]+"),
+    "n_lines": lambda text, words: F.size(_lines(text)).cast("long"),
+    "n_dup_lines": lambda text, words: (F.size(_lines(text)) - F.size(F.array_distinct(_lines(text)))).cast("long"),
+    "n_repeat_words": lambda text, words: repeat_words(words),
 }
 
 
-def _repeats(df: DataFrame, open_: Column) -> DataFrame:
-    """Adds n_repeat_words: words inside 3-word windows that occur twice or more in the text.
+def rejected_by(order: list[Rule], feature: Feature) -> Column:
+    """The first rule that rejects, or null. A later rule's features are computed only if all before it let the text pass."""
+    found = F.lit(None).cast("string")
+    for rule in reversed(order):
+        found = F.when(rule.rejects(feature), F.lit(rule.name)).otherwise(found)
+    return found
 
-    Each window's hash, cut to its upper bits and joined with its place, is sorted as a plain long; equal windows are
-    then neighbours, which the full hashes confirm. The union of windows of width 3 is a sum over the gaps of places.
-    """
-    mask = (1 << PLACE) - 1
-    zipped = F.arrays_zip(*(F.expr(f"slice(_w, {k}, greatest(size(_w) - 2, 0))") for k in (1, 2, 3)))
-    hashes = F.when(open_ & (F.size("_w") >= 4), F.transform(zipped, lambda x: F.xxhash64(x)))
-    df = df.withColumn("_h", hashes)
-    keys = F.sort_array(F.transform("_h", lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-    df = df.withColumn("_k", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), keys))
-    this = f"get(_h, cast(k & {mask}L as int))"
-    other = f"get(_h, cast(get(_k, i {{}} 1) & {mask}L as int))"
-    like = " or ".join(f"coalesce({this} = {other.format(sign)}, false)" for sign in "-+")
-    df = df.withColumn("_p", F.expr(f"sort_array(transform(filter(_k, (k, i) -> {like}), k -> k & {mask}L))"))
-    gaps = "zip_with(slice(_p, 2, size(_p) - 1), slice(_p, 1, size(_p) - 1), (b, a) -> least(3L, b - a))"
-    total = F.expr(f"case when coalesce(size(_p), 0) < 1 then 0L else 3L + aggregate({gaps}, 0L, (s, x) -> s + x) end")
-    return df.withColumn("n_repeat_words", F.when(open_, total)).drop("_h", "_k", "_p")
-
-
-def _with(df: DataFrame, name: str, open_: Column) -> DataFrame:
-    """Adds a feature where open_ holds, unless df has it."""
-    if name in df.columns:
-        return df
-    return _repeats(df, open_) if name == "n_repeat_words" else df.withColumn(name, F.when(open_, FEATURES[name]()))
-
-
-def _words(docs: DataFrame) -> DataFrame:
-    """(text, whole row, words): the row is packed, so that no column of it clashes with a feature."""
-    df = docs.select("text", F.struct("*").alias("_row")).withColumn("_w", words_of(F.col("text")))
-    return df.withColumn("n_words", F.size("_w").cast("long"))
+
+def verdict(text: Column, order: list[Rule]) -> Column:
+    """rejected_by over a text alone."""
+    text = F.coalesce(text, F.lit(""))
+    return _let(words_of(text), lambda words: rejected_by(order, lambda name: FEATURES[name](text, words)))
 
 
 def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> list[Rule]:
@@ -103,47 +122,29 @@ def plan_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     The sample decides only in which order the rules are asked; no row's verdict depends on it.
     """
     rows = docs.count()
-    taken = docs.select("text").sample(min(1.0, 2 * sample_rows / max(rows, 1)), seed=7).limit(sample_rows)
-    sample = staged(_words(taken).select("text", "_w", "n_words"), "sample")
+    sample = staged(docs.select("text").sample(min(1.0, 2 * sample_rows / max(rows, 1)), seed=7).limit(sample_rows), "sample")
     found = []
     for rule in rules:
-        df = sample
-        for name in rule.needs:
-            df = _with(df, name, F.lit(True))
         began = time.perf_counter()
-        share = df.agg(F.avg(F.expr(rule.rejects).cast("int"))).first()[0] or 0.0
+        share = sample.agg(F.avg(verdict(F.col("text"), [rule]).isNotNull().cast("int"))).first()[0] or 0.0
         found.append((share / (time.perf_counter() - began), rule))
     return [rule for _, rule in sorted(found, key=lambda x: -x[0])]
 
 
-def cascade(df: DataFrame, order: list[Rule]) -> DataFrame:
-    """Adds rejected_by, the first rule of order that rejects (null: kept). Features are computed for rows still open."""
-    df = df.withColumn("rejected_by", F.lit(None).cast("string"))
-    for rule in order:
-        open_ = F.col("rejected_by").isNull()
-        for name in rule.needs:
-            # A feature made for an earlier rule is there for every row that is still open.
-            df = _with(df, name, open_)
-        df = df.withColumn("rejected_by", F.when(open_ & F.expr(rule.rejects), F.lit(rule.name)).otherwise(F.col("rejected_by")))
-    return df
-
-
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of docs that no rule rejects."""
-    return cascade(_words(docs), plan_order(docs, rules)).where("rejected_by is null").select("_row.*")
+    return docs.where(verdict(F.col("text"), plan_order(docs, rules)).isNull())
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    df, base = _words(docs), [r for r in RULES if r.name in BASE]
-    for name in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):  # the contract wants these of every row
-        df = _with(df, name, F.lit(True))
-    df = df.withColumn("base_failed", F.expr(" or ".join(f"({r.rejects})" for r in base)))
-    df = cascade(df, plan_order(docs))
-    return df.select(
-        "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"),
-    )
+    df = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_w", words_of(F.col("text")))
+    wanted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")  # the contract has these of every row
+    df = df.withColumns({name: FEATURES[name](F.col("text"), F.col("_w")) for name in wanted})
+    feature = lambda name: F.col(name) if name in wanted else FEATURES[name](F.col("text"), F.col("_w"))
+    base = rejected_by([r for r in RULES if r.name in BASE], feature).isNotNull()
+    kept = rejected_by(plan_order(docs), feature).isNull()
+    return df.select("doc_id", *wanted, base.alias("base_failed"), (~base & kept).alias("kept"))
 
 
 OP3_SQL = r"""
