@@ -27,7 +27,6 @@ from lexigrid.plans.syntax import (
 #: Finite languages up to so many texts become IN lists.
 MOST_LISTED = 5_000
 SOFT_MISS = 0.01
-DAMAGE = 1e-12
 
 
 @dataclass
@@ -96,6 +95,9 @@ def bounds(node: Node) -> tuple[int, int | None]:
     match node:
         case Char(chars, _, optional):
             return (0 if optional or chars == {" "} else int(" " not in chars)), int(chars != {" "})
+        case Anagram(parts) if not all(isinstance(p, Char) for p in parts):
+            both = [bounds(p) for p in parts]  # each piece may be any of the parts
+            return len(parts) * min(a for a, _ in both), None if any(b is None for _, b in both) else len(parts) * max(b for _, b in both)
         case Seq(parts) | Anagram(parts):
             both = [bounds(p) for p in parts]
             return sum(a for a, _ in both), None if any(b is None for _, b in both) else sum(b for _, b in both)
@@ -296,7 +298,10 @@ class Lowering:
         if word and letters is None:
             near = F.levenshtein(F.col("text"), F.lit(word), most)
             out.add("edit distance", F.col("n_words") == 1, near >= 0)
-            out.times(F.pow(F.lit(DAMAGE), near))
+            weight = F.lit(1.0)
+            for e in range(1, most + 1):
+                weight = F.when(near == e, float(f"1e-{12 * e}")).otherwise(weight)
+            out.times(weight)
             return
         from lexigrid.plans.build import edited
 
@@ -304,7 +309,7 @@ class Lowering:
         weight = F.lit(0.0)
         for e in reversed(range(most + 1)):
             dfa = Dfa.of(edited(inner, "edit", e, max(e, 1), letters) if e else inner)
-            weight = F.when(accepts(dfa, F.col("text")), F.lit(DAMAGE**e)).otherwise(weight)
+            weight = F.when(accepts(dfa, F.col("text")), F.lit(float(f"1e-{12 * e}"))).otherwise(weight)
         out.add("graded automata", weight > 0)
         out.times(weight)
 
