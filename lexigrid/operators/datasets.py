@@ -67,8 +67,8 @@ def read_categories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     rows = text.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("sense_id", "line"))
     parts = rows.select("sense_id", F.split("line", "\t").alias("p"))
     sense = parts.select("sense_id", F.explode(F.split(F.col("p")[0], r"\|")).alias("name"))
-    edge = parts.where("size(p) > 1 and p[1] <> ''").select(F.col("sense_id").alias("parent"), F.explode(F.split(F.col("p")[1], ",")).cast("int").alias("child"))
-    return sense, edge
+    edge = parts.where("size(p) > 1 and p[1] <> ''").select(F.col("sense_id").alias("parent"), F.explode(F.split(F.col("p")[1], ",")).alias("child"))
+    return sense, edge.withColumn("child", F.col("child").cast("int"))
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:
