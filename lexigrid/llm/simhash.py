@@ -145,10 +145,12 @@ def simhash_components(docs: DataFrame, radius: int = 2) -> DataFrame:
 def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
     """Rows of docs, one of each component: that with the component's smallest doc_id.
 
-    Ids are unique in documents; of rows that repeat an id all stay or none.
+    Ids are unique in documents; of rows that repeat an id all stay or none, and rows without an id, which nothing tells
+    apart, stay if any of them is in a component without ids.
     """
-    keep = simhash_components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    found = simhash_components(docs, radius)
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
