@@ -6,7 +6,6 @@ sense(sense_id, name), edge(parent, child), neighbours(word, rank, neighbour), l
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -220,6 +219,3 @@ class Datasets:
         from lexigrid.plans.build import Builder
 
         return Builder(self.entries, self.packs)
-
-
-Lookup = Callable[[str, str, str], list[str]]

@@ -7,6 +7,7 @@ is the query that pays for building it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,6 @@ P1 = "WITH " + _sql(words=1)
 LETTERS = "replace(text, ' ', '')"
 SORTED = f"array_to_string(list_sort(string_split({LETTERS}, '')), '')"
 VALUES = "list_transform(string_split({}, ''), lambda c: {})"
-FULL = "regexp_full_match({}, '{}')"
 
 
 def full(pattern: str, column: str = "text") -> str:
@@ -159,19 +159,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A stream over the conversations, run to its end."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexigrid-stream-")
-    base = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark))))}-{len(list(_KEPT))}-{_fresh()}"
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "conversations").schema
     texts = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf_dir)
     S.start(texts, f"{base}/counts", f"{base}/checkpoint", once=True).awaitTermination()
     return S.current(spark, f"{base}/counts")
 
 
-def _fresh() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 HTML_SQL = "html"
 for _from, _to in G.HTML_STEPS:
     HTML_SQL = f"regexp_replace({HTML_SQL}, '{_from.replace(chr(39), chr(39) * 2)}', '{_to}', 'g')".replace("'\n'", "chr(10)")
@@ -210,7 +204,7 @@ pattern("three_word", '"A{3} A{3} A{3}"', full("[a-z]{3} [a-z]{3} [a-z]{3}"), 3)
 pattern("suffix_anchor", ".*tion", f"{LETTERS} LIKE '%tion'", 3)
 pattern("prefix_anchor", "thing.*", f"{LETTERS} LIKE 'thing%'", 3)
 pattern("group_quantifier", '"(th|an){2,3}"', full("(th|an){2,3}"))
-pattern("nested_negation", '"th(!.*e.*)"', f"text LIKE 'th%' AND NOT contains(substr(text, 3), 'e')", 3)
+pattern("nested_negation", '"th(!.*e.*)"', "text LIKE 'th%' AND NOT contains(substr(text, 3), 'e')", 3)
 pattern("nested_intersection", '"(A{3}&.*h.*)ing"', f"{full('[a-z]{3}ing')} AND contains(substr(text, 1, 3), 'h')")
 pattern("letter_anagram", "<aeht>", f"{SORTED} = 'aeht'", 3)
 pattern(
