@@ -36,29 +36,47 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """word -> (hash of its literal form, flags); forgets all when it has grown large."""
+    """word -> its row in the arrays of hashes of literal forms and of flags."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        core = _EDGE.sub("", word)
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        self.hashes, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+
+    def __missing__(self, word: str) -> int:
+        plain = word.isalpha()
+        core = word if plain else _EDGE.sub("", word)
         low = core.lower()
-        number = bool(_NUMBER.fullmatch(core))
-        flags = number | (low in UNITS) << 1 | (core[:1].isupper() and core[1:] == core[1:].lower() and core.isalpha()) << 2 | (word[-1:] in ".!?:") << 3
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = (xxhash.xxh3_64_intdigest(low), flags)
-        return found
+        row = len(self)
+        if row == len(self.hashes):
+            self.hashes, self.flags = np.concatenate([self.hashes] * 2), np.concatenate([self.flags] * 2)
+        number = not plain and bool(_NUMBER.fullmatch(core))
+        self.hashes[row] = xxhash.xxh3_64_intdigest(low)
+        self.flags[row] = number | (low in UNITS) << 1 | ((plain or core.isalpha()) and core.istitle()) << 2 | (not plain and word[-1] in ".!?:") << 3
+        self[word] = row
+        return row
+
+
+#: A worker's words, kept from task to task.
+_KNOWN = _Words()
+
+
+def _worker_words() -> _Words:
+    return _KNOWN
 
 
-def template(text: str, known: dict[str, tuple[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def template(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The words of a text, their hashes with slots replaced by placeholders, and their types."""
+    if len(known) > known.MOST:
+        known.clear()
     words, fresh = [], []
     for line in text.split("\n"):  # a line begins a sentence
         own = line.split()
         if own:
             fresh.append(len(words))
             words += own
-    both = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
-    hashes, flags = both[:, 0], both[:, 1].astype(np.uint8)
+    rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    hashes, flags = known.hashes[rows], known.flags[rows]
     begins = np.zeros(len(words), bool)
     begins[1:] = (flags[:-1] & 8) > 0
     begins[fresh] = True
@@ -91,7 +109,7 @@ def _window_batches(wanted):
     """wanted: a broadcast sorted array of hashes, outside which windows are left out; or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known = _worker_words()
         for batch in batches:
             ids, hs, ats, slots, total = [], [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
