@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import connected_components, small_batches, staged
+from lexigrid.llm.neardup import near_components
 
 SEED, BLOCKS, SIDE = 42, 4, 17
 
@@ -142,13 +143,13 @@ def simhash_components(docs: DataFrame, radius: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """Rows of docs, one of each component: that with the component's smallest doc_id.
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """Rows of docs, one of each component of near copies (neardup): that with the component's smallest doc_id.
 
     Ids are unique in documents; of rows that repeat an id all stay or none, and rows without an id, which nothing tells
     apart, stay if any of them is in a component without ids.
     """
-    found = simhash_components(docs, radius)
+    found = near_components(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
