@@ -3,8 +3,11 @@
 Numbers, units after a number, and names (capitalised words inside a sentence) become typed placeholders. Windows of five
 template words with at least three literal ones are hashed and joined with the windows of the benchmark's items. For a
 document and an item, the share of the item's windows found must reach min_share; then the slots are compared: where
-each value of the item always meets the same value in the document and the other way round, the question is the item,
-verbatim or with other parameters.
+each value of the item always meets the same value in the document, the question is the item, verbatim or with other
+parameters; different values of the item may meet equal ones. Slots are read by occurrence, that is by windows whose
+place in the document less that in the item is equal, or moves by no more than half the item's windows from one to the
+next, where words have been put in; an occurrence counts if it reaches min_share. Parts scattered over a document are
+read together.
 
 Defined results: null text counts as empty; items with fewer than five words are one window; an item without any usable
 window can't be found; rows that repeat a doc_id count as one document, and rows without doc_id are left out; an empty
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import small_batches, staged
@@ -32,6 +35,8 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h h
 _NUMBER = re.compile(r"[$€£+-]?[0-9][0-9.,:/]*%?")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: The reading of a whole document, besides those by start and by occurrence.
+WHOLE = 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,24 +158,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6)
         wanted = spark.sparkContext.broadcast(np.sort(rows))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     held = texts.mapInArrow(_window_batches(wanted), SCHEMA)
-    # Per item and hash the places are few; a document's windows of the item are counted by the item's place.
+    # Per item and hash the places are few.
     hits = held.alias("d").join(items.alias("i"), "hash").select(
         F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), F.col("i.at").alias("place"), F.col("i.n").alias("n"),
-        F.col("d.slots").alias("theirs"), F.col("i.slots").alias("ours"),
+        (F.col("d.at") - F.col("i.at")).alias("start"), F.col("d.slots").alias("theirs"), F.col("i.slots").alias("ours"),
     )
-    hits = hits.groupBy("doc_id", "item_id", "n", "place", "theirs", "ours").agg(F.count("*").alias("c"))
+    hits = hits.groupBy("doc_id", "item_id", "n", "place", "start", "theirs", "ours").agg(F.count("*").alias("c"))
     hits = staged(hits.drop("c"), "hits")
     share = hits.groupBy("doc_id", "item_id", "n").agg((F.count_distinct("place") / F.col("n")).alias("share")).where(F.col("share") >= min_share).drop("n")
-    # For each window the slots equal to the item's count if there are any: a document may hold an item twice.
-    slotted = hits.where("ours <> ''").join(share.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    slotted = slotted.groupBy("doc_id", "item_id", "place", "ours").agg(F.max(F.col("ours") == F.col("theirs")).alias("same"), F.min("theirs").alias("other"))
-    slotted = slotted.withColumn("pair", F.explode(F.arrays_zip(F.split("ours", "\x1f").alias("a"), F.split(F.when(F.col("same"), F.col("ours")).otherwise(F.col("other")), "\x1f").alias("b"))))
-    slots = slotted.groupBy("doc_id", "item_id").agg(
-        F.min("same").alias("verbatim"),
-        ((F.count_distinct("pair") == F.count_distinct("pair.a")) & (F.count_distinct("pair") == F.count_distinct("pair.b"))).alias("consistent"),
+    # A window holds the places of one item in one document, no more than its text has.
+    by = Window.partitionBy("doc_id", "item_id").orderBy("start")
+    mine = hits.join(share.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    mine = mine.withColumn("moved", (F.col("start") - F.lag("start").over(by) > F.col("n") / 2).cast("int"))
+    mine = mine.withColumn("occurrence", F.sum(F.coalesce("moved", F.lit(0))).over(by))
+    readings = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("id")) for k, c in enumerate(("start", "occurrence"))), F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).cast("long").alias("id")))
+    # For each window of a reading the slots equal to the item's count if there are any.
+    read = mine.withColumn("reading", F.explode(readings)).groupBy("doc_id", "item_id", "n", "reading", "place", "ours")
+    read = read.agg(F.max(F.col("ours") == F.col("theirs")).alias("same"), F.min("theirs").alias("other"))
+    read = read.withColumn("pair", F.explode(F.arrays_zip(F.split("ours", "\x1f").alias("a"), F.split(F.when(F.col("same"), F.col("ours")).otherwise(F.col("other")), "\x1f").alias("b"))))
+    read = read.groupBy("doc_id", "item_id", "n", "reading").agg(
+        F.min("same").alias("same"), (F.count_distinct("place") / F.col("n") >= min_share).alias("enough"),
+        (F.count_distinct("pair") == F.count_distinct("pair.a")).alias("consistent"),
     )
-    found = share.join(slots, ["doc_id", "item_id"], "left")
-    return found.withColumns({"verbatim": F.coalesce("verbatim", F.lit(True)), "consistent": F.coalesce("consistent", F.lit(True))})
+    whole = F.col("reading.kind") == WHOLE
+    slots = read.groupBy("doc_id", "item_id").agg(F.max(whole & F.col("same")).alias("verbatim"), F.max(F.col("consistent") & (whole | F.col("enough"))).alias("consistent"))
+    return share.join(slots, ["doc_id", "item_id"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6) -> DataFrame:

@@ -172,6 +172,18 @@ def test_decontamination(spark, folder, docs, bench):
     assert sorted(r["doc_id"] for r in left) == [2, 4]
 
 
+def test_slots_are_read_by_occurrence(spark, docs):
+    rng = random.Random(24)
+    item = "Anna bought 12 red apples and gave 3 of them to her old friend who lives near the green park by the river"
+    copies = [item.replace("12", a).replace("3 ", b + " ") for a, b in (("40", "7"), ("50", "6"))]
+    grown = [c.replace("old friend", "old and dear friend") for c in copies]
+    equal = item.replace("12", "4").replace("3 ", "4 ")
+    texts = [f"{prose(rng, 30)} {t} {prose(rng, 30)}" for t in (" ".join(copies), " ".join(grown), equal, prose(rng, 20))]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontam.contaminated(docs(texts), items).collect()}
+    assert set(found) == {0, 1, 2} and all(r["consistent"] and not r["verbatim"] for r in found.values())
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
