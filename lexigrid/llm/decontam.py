@@ -9,8 +9,10 @@ place in the document less that in the item is equal, or moves by no more than h
 next, where words have been put in; an occurrence counts if it reaches min_share. Parts scattered over a document are
 read together.
 
-Defined results: null text counts as empty; items with fewer than five words are one window; an item without any usable
-window can't be found; rows that repeat a doc_id count as one document, and rows without doc_id are left out; an empty
+An item of fewer than five words is one window of its own width. An item without a usable template window is looked for
+by windows of its words themselves, placeholders left out. Documents get windows of each shape that items have.
+
+Defined results: null text counts as empty; an item without a word can't be found; rows that repeat a doc_id count as one document, and rows without doc_id are left out; an empty
 table gives an empty result; other columns are ignored, and pass through ``drop_contaminated``.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import small_batches, staged
 
 WIDTH, LITERALS = 5, 3
+#: The shape of a window: its number of words, and this added where words stand for themselves.
+PLAIN = 8
 #: Above so many distinct windows of the benchmark (8 bytes each), documents' windows are joined unfiltered.
 MOST_HASHES = 4_000_000
 #: Units of measure that become a placeholder after a number: fixed values.
@@ -70,8 +74,8 @@ def _worker_words() -> _Words:
     return _KNOWN
 
 
-def template(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words of a text, their hashes with slots replaced by placeholders, and their types."""
+def template(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text, their hashes, those with slots replaced by placeholders, and their types."""
     if len(known) > known.MOST:
         known.clear()
     words, fresh = [], []
@@ -89,60 +93,68 @@ def template(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarra
     unit = np.zeros(len(words), bool)
     unit[1:] = ((flags[1:] & 2) > 0) & number[:-1]
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(((flags & 4) > 0) & ~begins, NAME, LITERAL))).astype(np.uint8)
-    return words, np.where(kind > 0, kind.astype(np.uint64), hashes), kind
+    return words, hashes, np.where(kind > 0, kind.astype(np.uint64), hashes), kind
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and whether it may be used, for the window from each place on. A text of fewer words has one window."""
-    n = min(WIDTH, len(hashes))
-    if not n:
-        return hashes, np.zeros(0, bool)
-    count = len(hashes) - n + 1
-    out, literal = np.full(count, n, np.uint64), np.zeros(count, np.uint8)
-    for k in range(n):
+def windows(plain: np.ndarray, hashes: np.ndarray, kind: np.ndarray, shape: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and whether it may be used, for the window of a shape from each place on."""
+    n = shape % PLAIN
+    count = max(0, len(hashes) - n + 1)
+    if shape > PLAIN:
+        hashes, kind = plain, np.zeros_like(kind)
+    out, literal = np.full(count, shape, np.uint64), np.zeros(count, np.uint8)
+    for k in range(n if count else 0):
         out = (out ^ hashes[k : k + count]) * _PRIME
         out ^= out >> np.uint64(29)
         literal += kind[k : k + count] == LITERAL
     return out, literal >= min(LITERALS, n)
 
 
-def _slots(words: list[str], kind: np.ndarray, at: int) -> str:
-    return "\x1f".join(_EDGE.sub("", words[k]).lower() for k in range(at, min(at + WIDTH, len(words))) if kind[k])
+def _slots(words: list[str], kind: np.ndarray, at: int, shape: int) -> str:
+    """The values of a window's slots; windows of words themselves have none."""
+    return "" if shape > PLAIN else "\x1f".join(_EDGE.sub("", words[k]).lower() for k in range(at, at + shape) if kind[k])
+
+
+def _own_shape(plain: np.ndarray, hashes: np.ndarray, kind: np.ndarray) -> list[int]:
+    """An item's shape; none without words."""
+    n = min(WIDTH, len(kind))
+    return [n if windows(plain, hashes, kind, n)[1].any() else n + PLAIN] if n else []
 
 
-def _window_batches(wanted):
-    """wanted: a broadcast sorted array of hashes, outside which windows are left out; or None."""
+def _window_batches(wanted, shapes: list[int] | None = None):
+    """wanted: a broadcast sorted array of hashes, outside which windows are left out; or None. shapes: None for a text's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker_words()
         for batch in batches:
-            ids, hs, ats, slots, total = [], [], [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, hashes, kind = template(text or "", known)
-                full, usable = windows(hashes, kind)
-                if wanted is not None:
-                    some, place = wanted.value, 0
-                    place = np.minimum(np.searchsorted(some, full), len(some) - 1)
-                    found = np.flatnonzero(usable & (some[place] == full)) if len(some) else np.zeros(0, np.int64)
-                else:
-                    found = np.flatnonzero(usable)
-                n = int(usable.sum())
-                ids += [k] * len(found)
-                hs.append(full[found])
-                ats += found.tolist()
-                total += [n] * len(found)
-                slots += [_slots(words, kind, at) for at in found.tolist()]
+            ids, hs, ats, slots, total, shaped = [], [], [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, *arrays = template(text or "", known)
+                for shape in _own_shape(*arrays) if shapes is None else shapes:
+                    full, usable = windows(*arrays, shape)
+                    if wanted is not None:
+                        some = wanted.value
+                        place = np.minimum(np.searchsorted(some, full), len(some) - 1)
+                        found = np.flatnonzero(usable & (some[place] == full)) if len(some) else np.zeros(0, np.int64)
+                    else:
+                        found = np.flatnonzero(usable)
+                    ids += [key] * len(found)
+                    hs.append(full[found])
+                    ats += found.tolist()
+                    total += [int(usable.sum())] * len(found)
+                    shaped += [shape] * len(found)
+                    slots += [_slots(words, arrays[2], at, shape) for at in found.tolist()]
             if ids:
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(ats, pa.int32()), pa.array(slots, pa.string()), pa.array(total, pa.int32())],
-                    ["id", "hash", "at", "slots", "n"],
+                    [pa.array(ids, pa.int64()), pa.array(np.concatenate(hs).view(np.int64)), pa.array(ats, pa.int32()), pa.array(slots, pa.string()), pa.array(total, pa.int32()), pa.array(shaped, pa.int32())],
+                    ["id", "hash", "at", "slots", "n", "shape"],
                 )
                 yield from (out.slice(k, 1 << 16) for k in range(0, len(out), 1 << 16))
 
     return run
 
 
-SCHEMA = "id long, hash long, at int, slots string, n int"
+SCHEMA = "id long, hash long, at int, slots string, n int, shape int"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6) -> DataFrame:
@@ -151,13 +163,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6)
     small_batches(spark)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     items = staged(items.mapInArrow(_window_batches(None), SCHEMA).dropDuplicates(["id", "hash", "slots", "at"]), "benchmark-windows")
+    shapes = sorted(r[0] for r in items.select("shape").distinct().collect())  # at most ten
     known = items.select("hash").distinct()
     wanted = None
     if known.count() <= MOST_HASHES:  # a proven bound of 32 MB; beyond it, the join alone decides
         rows = np.array([r[0] for r in known.toLocalIterator()], np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(rows))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    held = texts.mapInArrow(_window_batches(wanted), SCHEMA)
+    held = texts.mapInArrow(_window_batches(wanted, shapes), SCHEMA)
     # Per item and hash the places are few.
     hits = held.alias("d").join(items.alias("i"), "hash").select(
         F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), F.col("i.at").alias("place"), F.col("i.n").alias("n"),

@@ -184,6 +184,17 @@ def test_slots_are_read_by_occurrence(spark, docs):
     assert set(found) == {0, 1, 2} and all(r["consistent"] and not r["verbatim"] for r in found.values())
 
 
+def test_short_and_slotted_items_are_found_in_longer_texts(spark, docs, monkeypatch):
+    rng = random.Random(25)
+    items = ["zyx", "blue whale", "blue whale song", "who has 7 kites", "3 + 4 = 7", "Ask Anna Otto 5 6 7 8 Berta"]
+    texts = [f"{prose(rng, 30)} {t} {prose(rng, 30)}" for t in [*items, "3 + 4 = 8", "who has 9 kites"]] + [prose(rng, 60)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (decontam.MOST_HASHES, 0):
+        monkeypatch.setattr(decontam, "MOST_HASHES", most)
+        found = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontam.contaminated(docs(texts), benchmark).where("consistent").collect()}
+        assert found == {(k, k): True for k in range(6)} | {(2, 1): True, (7, 3): False}
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
