@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,17 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a new local folder in local mode (tests), and an error on a cluster.
+    """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lexigrid_dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        path = sc._lexigrid_dir = tempfile.mkdtemp(prefix="lexigrid-")
-        sc.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrid-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -52,10 +60,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most rows rows, and of about size bytes, so that what a worker builds from one
+    stays small; Spark bounds the batches themselves (``spark.sql.execution.arrow.maxBytesPerBatch``)."""
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(1, batch.nbytes)))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(n, row) of each row of docs, staged: n is the row's own number, row all its columns.
+
+    Numbers rise with the partition, so they are fixed once written; what repeats an id, or has none, stays apart.
+    """
+    return staged(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")), name)
 
 
 def words_of(text: Column) -> Column:

@@ -12,8 +12,10 @@ read together.
 An item of fewer than five words is one window of its own width. An item without a usable template window is looked for
 by windows of its words themselves, placeholders left out. Documents get windows of each shape that items have.
 
-Defined results: null text counts as empty; an item without a word can't be found; rows that repeat a doc_id count as one document, and rows without doc_id are left out; an empty
-table gives an empty result; other columns are ignored, and pass through ``drop_contaminated``.
+Defined results: null text counts as empty; an item without a word can't be found; in ``contaminated``, which names
+documents, rows that repeat a doc_id count as one document and rows without doc_id are left out, while
+``drop_contaminated`` judges every row by its own text; of places or values that tie each counts once; very long texts
+are read whole; an empty table gives an empty result; other columns are ignored, or pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import small_batches, staged
+from lexigrid.llm.common import pieces, staged
 
 WIDTH, LITERALS = 5, 3
 #: The shape of a window: its number of words, and this added where words stand for themselves.
@@ -126,7 +128,7 @@ def _window_batches(wanted, shapes: list[int] | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker_words()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, hs, ats, slots, total, shaped = [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, *arrays = template(text or "", known)
@@ -160,7 +162,6 @@ SCHEMA = "id long, hash long, at int, slots string, n int, shape int"
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6) -> DataFrame:
     """(doc_id, item_id, share, verbatim, consistent) for each document and item of which it holds at least min_share."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     items = staged(items.mapInArrow(_window_batches(None), SCHEMA).dropDuplicates(["id", "hash", "slots", "at"]), "benchmark-windows")
     shapes = sorted(r[0] for r in items.select("shape").distinct().collect())  # at most ten
@@ -199,9 +200,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6) -> DataFrame:
-    """Rows of docs without the documents that hold an item with consistent slots."""
-    found = contaminated(docs, benchmark, min_share).where("consistent").select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    """Rows of docs without those whose text holds an item with consistent slots, be they with a doc_id or without.
+
+    A text goes by its hash: all rows of one text share its verdict, and texts collide by 64 bits' chance alone.
+    """
+    key = F.xxhash64(docs["text"])
+    texts = docs.where("text is not null").select(key.alias("doc_id"), "text")
+    found = contaminated(texts, benchmark, min_share).where("consistent").select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, key == found["_found"], "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
