@@ -9,12 +9,14 @@ Small buckets give pairs. Of a large bucket (one segment shared by more than BUC
 by hash, and tiles are compared pairwise; a pair of tiles returns a spanning forest of its links, never all pairs, and
 lines already joined in it are not verified again. Both ways are exact: no link between different lines is lost.
 
-Of all lines of a class the first occurrence, by (doc_id, line number), stays.
+Of all lines of a class the first occurrence stays, in the order of doc_id (rows without one last), then of the rows'
+own numbers, then of the lines in the text.
 
 Defined results: null text has no line; lines without a word are never duplicates, and stay where any other line does;
-rows that repeat a doc_id count as one document, and lose the same lines; rows without doc_id come last; a document
-that loses every line with a word is dropped by ``dedup_lines`` and listed by ``op6``; an empty table gives an empty
-result; other columns pass through.
+every row is a document of its own, whether it repeats a doc_id or has none, so of two equal rows the later loses its
+lines; a document that loses every line with a word is dropped by ``dedup_lines`` and listed by ``op6``; an empty table
+gives an empty result; other columns pass through, whatever their names; very long texts are cut into lines like any
+other, and a very long line meets only lines within radius of its length.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import connected_components, small_batches, staged
+from lexigrid.llm.common import connected_components, numbered, pieces, staged
 
 RADIUS, LEAST_CHARS, BUCKET, TILE = 2, 24, 48, 128
+#: Slices into which the places of a line are dealt, so that a line of a third of all rows is no single task's work.
+SALTS = 64
 STRIP = " \t\n\v\f\r"
 PROBE, INDEX = 1, 2
 
@@ -63,7 +67,7 @@ def layout(n: int, radius: int, least: int) -> list[tuple[int, int, int, int]]:
 def _key_batches(radius: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, known, seen = xxhash.xxh64_intdigest, {}, set()
-        for batch in batches:
+        for batch in pieces(batches):
             keys, lines = [], []
             for text in batch.column(0).to_pylist():
                 for line in text.split("\n") if text else ():
@@ -227,25 +231,24 @@ def _tile_batches(radius: int):
     return run
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line, text) of each line; line is the hash of the trimmed text, null if it has no word."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(n, doc_id, at, line, text) of each line of rows (n, doc_id, text); line is the hash of the trimmed text, null if it has no word."""
+    each = rows.select("n", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     trimmed = each.withColumn("text", F.btrim("text", F.lit(STRIP)))
     return trimmed.withColumn("line", F.when(F.col("text") != "", F.xxhash64("text")))
 
 
-def near_lines(docs: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
-    """Links (u, v) that connect all near lines, by hash."""
-    spark = docs.sparkSession
-    small_batches(spark, 4000)
-    keys = docs.select("text").mapInArrow(_key_batches(radius, least), "key long, line long")
+def near_lines(rows: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
+    """Links (u, v) that connect all near lines of rows, by hash."""
+    keys = rows.select("text").mapInArrow(_key_batches(radius, least), "key long, line long")
     dealt = keys.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
     met = staged(dealt.mapInArrow(_bucket_batches, "key long, a long, b long"), "met")
     pairs = met.where("key is null").select("a", "b").distinct()
     hot = met.where("key is not null").select("key", F.col("a").alias("line")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).union(hot.select("line")).distinct()
-    texts = occurrences(docs).select("line", "text").where(F.length("text") >= least)
-    texts = staged(texts.join(wanted, "line", "left_semi").dropDuplicates(["line"]), "line-texts")
+    # Repeats of a line go map-side, before any text moves.
+    texts = occurrences(rows).select("line", "text").where(F.length("text") >= least).groupBy("line").agg(F.min("text").alias("text"))
+    texts = staged(texts.join(wanted, "line", "left_semi"), "line-texts")
     left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("x")), texts.select(F.col("line").alias("b"), F.col("text").alias("y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify_batches(radius), "u long, v long")
     if not hot.isEmpty():
@@ -258,42 +261,56 @@ def near_lines(docs: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS)
     return links
 
 
-def duplicate_lines(docs: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, at, line, duplicate, near) of each distinct line place: near marks duplicates of a line that differs."""
-    classes = connected_components(near_lines(docs, radius, least), "lines")
-    places = staged(occurrences(docs).select("doc_id", "at", "line").distinct(), "places")
-    worded = places.where("line is not null").join(classes.withColumnRenamed("node", "line"), "line", "left")
-    worded = worded.withColumn("class", F.coalesce("component", "line"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
-    first = worded.groupBy("class").agg(F.min(F.struct(order.alias("place"), F.col("line").alias("line"))).alias("first"))
-    marked = worded.join(first, "class").select(
-        "doc_id", "at", "line", (order > F.col("first.place")).alias("duplicate"), (F.col("line") != F.col("first.line")).alias("near")
+def marked_lines(rows: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
+    """(n, doc_id, at, line, duplicate, near) of each line of rows (n, doc_id, text): near marks duplicates of a line that differs.
+
+    The first place of a class comes from sums by line and slice; it goes back to the slices, then to the places, so no
+    join gathers the places of a common line.
+    """
+    classes = connected_components(near_lines(rows, radius, least), "lines").withColumnRenamed("node", "line")
+    places = staged(occurrences(rows).select("n", "doc_id", "at", "line"), "places")
+    worded = places.where("line is not null").withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "at")
+    sliced = worded.groupBy("line", "salt").agg(F.min(order).alias("place"), F.count("*").alias("c"))
+    lined = sliced.groupBy("line").agg(F.min("place").alias("place"), F.sum("c").alias("c")).join(classes, "line", "left")
+    lined = lined.withColumn("class", F.coalesce("component", "line"))
+    first = lined.groupBy("class").agg(F.min(F.struct("place", "line")).alias("first"), F.sum("c").alias("all"))
+    # Lines of which there is one, and none near, have no duplicate: they needn't meet their places again.
+    several = lined.join(first.where("all > 1"), "class").select("line", F.col("first.place").alias("first"), (F.col("line") != F.col("first.line")).alias("near"))
+    several = staged(sliced.select("line", "salt").join(several, "line"), "several")
+    marked = worded.join(several, ["line", "salt"], "left").select(
+        "n", "doc_id", "at", "line", F.coalesce(order > F.col("first"), F.lit(False)).alias("duplicate"), F.coalesce("near", F.lit(False)).alias("near")
     )
-    return marked.union(places.where("line is null").select("doc_id", "at", "line", F.lit(False), F.lit(False)))
+    return marked.union(places.where("line is null").select("n", "doc_id", "at", "line", F.lit(False), F.lit(False)))
+
+
+def duplicate_lines(docs: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
+    """marked_lines of docs."""
+    return marked_lines(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text"), radius, least)
 
 
 def dedup_lines(docs: DataFrame, radius: int = RADIUS, least: int = LEAST_CHARS) -> DataFrame:
     """Rows of docs without the later occurrences of lines; n_chars, if there, is counted anew."""
-    flags = duplicate_lines(docs, radius, least).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("duplicate").alias("_any"),
-        F.max(F.col("line").isNotNull() & ~F.col("duplicate")).alias("_left"),
-        F.max(F.col("line").isNotNull()).alias("_worded"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "duplicate"))), lambda x: x["duplicate"]).alias("_flags"),  # one document's lines
+    rows = numbered(docs, "line-rows")
+    flags = marked_lines(rows.select("n", "row.doc_id", "row.text"), radius, least).groupBy("n").agg(
+        F.max("duplicate").alias("any"),
+        F.max(F.col("line").isNotNull() & ~F.col("duplicate")).alias("left"),
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "duplicate"))), lambda x: x["duplicate"]).alias("flags"),  # one row's lines
     )
-    flags = flags.where("_any").select("_id", "_left", "_flags")
-    held = docs.select("doc_id", F.struct("*").alias("_row")).join(flags, F.expr("doc_id <=> _id"), "left").where("coalesce(_left, true)")
-    text = F.expr("case when _flags is null then _row.text else array_join(filter(split(_row.text, '\\n'), (x, i) -> not get(_flags, i)), '\\n') end")
-    held = held.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
-    return held.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new and c in ("text", "n_chars") else F.col(f"_row.`{c}`") for c in docs.columns))
+    held = rows.join(flags.where("any").select("n", "left", "flags"), "n", "left").where("coalesce(left, true)")
+    text = F.expr("case when flags is null then row.text else array_join(filter(split(row.text, '\\n'), (x, i) -> not get(flags, i)), '\\n') end")
+    held = held.select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0))}
+    return held.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document with a line: its lines, those that are duplicates, and of these those that only are near."""
     marked = duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return marked.groupBy("doc_id").agg(
+    return marked.groupBy("n").agg(
+        F.first("doc_id").alias("doc_id"),
         F.count("line").alias("n_lines"),
         F.count_if("duplicate").alias("n_duplicates"),
         F.count_if(F.col("duplicate") & F.col("near")).alias("n_near"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("duplicate"), F.col("at")))), ",").alias("duplicates"),
-    )
+    ).drop("n")
