@@ -8,9 +8,14 @@ global order is cut. The document of a source that crosses the line is taken in
 Queue positions are sums in two levels: a document's place within a bucket of its source (buckets are slices of the
 shuffle's hash, so even a source with most of the rows is dealt evenly), plus the sums of the buckets before.
 
-Defined results: null text has size 0; a null source is a source of its own, the last; a null doc_id is shuffled by the
-text "null"; rows that repeat an id follow one another in the queue, the smaller first; an empty table, or one without
-words, takes nothing; other columns are ignored or, in ``mix_documents``, passed through.
+The cut needs no global prefix sum: up to virtual time v a source gives v * target words, so the words of all sources up
+to v are v * budget, and the budget is spent at v = 1 whatever the order. ``mix_documents`` range-sorts by finish time.
+
+Defined results: null text has size 0; a null source is a source of its own, the last; a row without doc_id is shuffled
+by its text; rows that repeat an id, or such a text, follow one another in the queue, the smaller first, and each is
+taken for itself; an empty table, or one without words, takes nothing; very long texts are documents like any other and
+may be taken in part; other columns are ignored or, in ``mix_documents``, passed through; one named ``taken`` there is
+renamed ``taken_0``, or with the next free number.
 """
 
 from __future__ import annotations
@@ -20,11 +25,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import staged, words_of
+from lexigrid.llm.common import numbered, staged, words_of
 
 #: Weights by a source's rank, repeating; the budget as a share of all words; the most passes over a document.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -47,37 +52,45 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def assign(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, virtual_finish, taken) of each row of docs; virtual_finish is that of
-    the first pass, null where the source's target is 0."""
-    rows = docs.count()
-    buckets = max(1, min(65536, math.ceil(rows / BUCKET_ROWS)))
-    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    sized = docs.select(
-        "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), place.alias("place"),
-        F.floor(F.conv(F.substring(place, 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int").alias("bucket"),
+def assign_rows(rows: DataFrame, seed: str = "mix") -> DataFrame:
+    """(n, doc_id, source, size, source_size, target, virtual_finish, taken) of each of rows (n, doc_id, source,
+    text); virtual_finish is that of the first pass, null where the source's target is 0."""
+    buckets = max(1, math.ceil(rows.count() / BUCKET_ROWS))
+    text = F.coalesce("text", F.lit(""))
+    place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text))), F.lit(f":{seed}")))
+    sized = rows.select(
+        "n", "doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), place.alias("place"),
+        F.floor(F.conv(F.substring(place, 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int").alias("bucket"),
     )
     sized = staged(sized, "sizes")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
     queues = offsets.alias("o").join(source_targets(sums).alias("t"), F.expr("o.source <=> t.source")).select("o.*", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("place", "size", "n").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("size").over(within)).alias("p").join(queues.alias("q"), F.expr("p.source <=> q.source and p.bucket = q.bucket"))
     before = F.col("upto") + F.col("offset") - F.col("size")
     line = F.floor("target")
     first = F.greatest(F.lit(0), F.least(F.col("size"), line - before))
     second = F.greatest(F.lit(0), F.least(F.col("size"), line - F.col("source_size") - before))
     finish = F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target"))
-    return placed.select("doc_id", "p.source", "size", "source_size", "target", finish.alias("virtual_finish"), (first + second).cast("long").alias("taken"))
+    return placed.select("n", "doc_id", "p.source", "size", "source_size", "target", finish.alias("virtual_finish"), (first + second).cast("long").alias("taken"))
+
+
+def assign(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """assign_rows of docs."""
+    return assign_rows(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "source", "text"), seed).drop("n")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Rows of docs in the mix, range-sorted by virtual finish time, with taken: the words to draw from the document,
-    over its size where it is repeated. Ids are unique in documents; rows that repeat an id share the id's sum."""
-    taken = assign(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.min("virtual_finish").alias("_finish")).where("_taken > 0")
-    held = docs.select("doc_id", F.struct("*").alias("_row")).join(taken, F.expr("doc_id <=> _id"))
-    return held.orderBy("_finish").select("_row.*", F.col("_taken").alias("taken"))
+    over its size where it is repeated."""
+    rows = numbered(docs, "mix-rows")
+    taken = assign_rows(rows.select("n", "row.doc_id", "row.source", "row.text")).where("taken > 0").select("n", "taken", "virtual_finish")
+    names = {c.lower() for c in docs.columns}
+    free = next(f"taken_{k}" for k in range(len(names) + 1) if f"taken_{k}" not in names)
+    own = [F.col(f"row.`{c}`").alias(free if c.lower() == "taken" else c) for c in docs.columns]
+    return rows.join(taken, "n").orderBy("virtual_finish").select(*own, "taken")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +100,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
-             md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS place FROM documents),
+             md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) || ':mix') AS place FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 1.5::DOUBLE * sum(s) OVER () AS budget FROM t),
 l AS (SELECT *, (budget - coalesce(CAST(sum(2 * s) OVER (ORDER BY 2 * s / weight::DOUBLE ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
