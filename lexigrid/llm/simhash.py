@@ -1,19 +1,20 @@
 """SimHash near-dedup: fingerprints, then an exact tiled comparison, then connected components.
 
 Every text gets a 64-bit SimHash of its 3-word shingles. Distinct fingerprints are laid out in tiles whose members
-share the population counts of four 16-bit blocks. Two fingerprints within Hamming distance r differ by at most r in the
+share the population counts of the fingerprint's blocks (four of 16 bits; narrower ones for more fingerprints, which
+skip more). Two fingerprints within Hamming distance r differ by at most r in the
 sum of absolute differences of those counts, so a tile meets only tiles that near; each pair of tiles is compared whole
 with numpy exclusive-or and bit counts. A pair of tiles returns a spanning forest of its links, never all pairs.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 repeated rows and equal texts share one fingerprint and so one component; a null doc_id never names a component unless
-no row of it has an id; an empty table gives an empty result; other columns are ignored.
+no row of it has an id; an empty table gives an empty result; very long texts are hashed whole, in pieces; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import connected_components, small_batches, staged
+from lexigrid.llm.common import connected_components, pieces, staged
 from lexigrid.llm.neardup import near_components
 
-SEED, BLOCKS, SIDE = 42, 4, 17
+SEED = 42
+#: Blocks of a fingerprint, by the number of distinct fingerprints up to which they are used; any gives the same links.
+BLOCKS = ((4, 20_000_000), (8, 2_000_000_000), (16, None))
+#: Comparisons of fingerprints that a task should make.
+TASK_WORK = 1 << 30
 
 
 def simhash(data: bytes, n: int = 3) -> int:
@@ -47,7 +52,7 @@ def simhash(data: bytes, n: int = 3) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = np.fromiter((simhash(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
@@ -55,7 +60,6 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row; fp holds the 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -104,32 +108,52 @@ def _tile_links(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 2, tile_rows: int = 2048) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints within radius, found tile against tile."""
-    # At most 17 ** 4 cells exist, whatever the corpus: the counts by cell may be broadcast.
-    block = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(BLOCKS)]
-    cell = sum((p * SIDE**k for k, p in enumerate(block)), F.lit(0))
-    celled = fps.select("fp").withColumn("cell", cell)
+def _steps(blocks: int, radius: int) -> list[dict[int, int]]:
+    """Differences of two cells' counts, by block, whose absolute values sum up to radius or less."""
+    found = [{}]
+    for _ in range(radius):
+        more = [{**d, k: d.get(k, 0) + x} for d in found for k in range(blocks) for x in (-1, 1) if d.get(k, 0) * x >= 0]
+        found = [dict(t) for t in {tuple(sorted(d.items())) for d in found + more}]
+    return found
+
+
+def near_links(fps: DataFrame, radius: int = 2, tile_rows: int = 2048, blocks: int | None = None) -> DataFrame:
+    """Links (u, v) that connect all distinct fingerprints within radius, found tile against tile.
+
+    Pairs of tiles are chosen by their names alone and dealt over tasks by the second tile, whose number grows with a
+    cell's rows; the number of tasks follows from the comparisons to make, not from bytes.
+    """
+    spark, rows = fps.sparkSession, fps.count()
+    blocks = blocks or next(b for b, most in BLOCKS if most is None or rows <= most)
+    width = 64 // blocks
+    side = width + 1
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(blocks)]
+    celled = fps.select("fp", sum((p * side**k for k, p in enumerate(counts)), F.lit(0)).alias("cell"))
     parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
     tiles = (
-        celled.join(F.broadcast(parts), "cell")
+        celled.join(parts, "cell")  # side ** blocks cells at most; Spark's own size threshold decides on a broadcast
         .groupBy("cell", F.expr("cast(pmod(xxhash64(fp), parts) as int)").alias("part"))
         .agg(F.collect_list("fp").alias("fps"))  # about tile_rows distinct values
     )
     tiles = staged(tiles, "tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=BLOCKS) if sum(map(abs, d)) <= radius]
-    at = [F.floor(F.col("cell") / SIDE**k).cast("int") % SIDE for k in range(BLOCKS)]
+    names = tiles.select("cell", "part", F.size("fps").cast("long").alias("size"))
+    at = [F.floor(F.col("cell") / F.lit(side**k)).cast("long") % side for k in range(blocks)]
     near = []
-    for d in steps:
-        shift = sum(x * SIDE**k for k, x in enumerate(d))
+    for d in _steps(blocks, radius):
+        shift = sum(x * side**k for k, x in d.items())
         if shift >= 0:
             inside = F.lit(True)
-            for k, x in enumerate(d):
-                inside = inside & (at[k] + x).between(0, SIDE - 1) if x else inside
-            near.append(F.when(inside, F.col("cell") + shift))
-    left = tiles.select(F.col("fps").alias("a"), F.col("cell").alias("from"), F.col("part").alias("p"), F.explode(F.array_compact(F.array(*near))).alias("cell"))
-    pairs = left.join(tiles, "cell").where("cell > from or part >= p").select("a", F.col("fps").alias("b"))
-    return pairs.mapInArrow(_tile_links(radius), "u long, v long")
+            for k, x in d.items():
+                inside = inside & (at[k] + x).between(0, side - 1) if x else inside
+            near.append(F.when(inside, F.col("cell") + F.lit(shift)))
+    left = names.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("size").alias("s"), F.explode(F.array_compact(F.array(*near))).alias("cell"))
+    pairs = staged(left.join(names, "cell").where("cell > c or part >= p").selectExpr("c", "p", "cell", "part", "s * size as work"), "tile-pairs")
+    work = pairs.agg(F.sum("work")).first()[0] or 0
+    tasks = int(min(100_000, max(spark.sparkContext.defaultParallelism, work // TASK_WORK)))
+    first = tiles.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("fps").alias("a"))
+    met = pairs.join(first, ["c", "p"]).select("a", "cell", "part").repartition(tasks, "cell", "part")
+    both = met.join(tiles.repartition(tasks, "cell", "part"), ["cell", "part"]).select("a", F.col("fps").alias("b"))
+    return both.mapInArrow(_tile_links(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, radius: int = 2) -> DataFrame:
