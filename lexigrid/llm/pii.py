@@ -1,14 +1,16 @@
-"""PII: fixed patterns, and information-theoretic sanitisation of the terms beside them. Native expressions only.
+"""PII: fixed patterns, and information-theoretic sanitisation of the terms that reveal them. Native expressions only.
 
-The spans of the fixed patterns name protected entities. In the corpus, the information content of an entity is
-IC(e) = log2(N / n(e)), with n(e) its distinct contexts and N all rows; a term within a context reveals
-PMI(t; e) = log2(N * n(t, e) / (df(t) * n(e))), with df(t) the rows of the whole corpus that hold t. A term with at least
-min_support distinct contexts of e and PMI(t; e) >= threshold * IC(e) discloses the entity: its spans beside that entity
-are added as kind ``term``, and ``sanitise`` generalises entities to their kind and removes such terms.
+The spans of the fixed patterns name protected entities. Over the whole corpus, with n(e) the rows that hold entity e,
+df(t) those that hold term t, n(t, e) those that hold both and N all rows, the information content of an entity is
+IC(e) = log2(N / n(e)), and a term reveals PMI(t; e) = log2(N * n(t, e) / (df(t) * n(e))) of it. A term that stands with e
+in at least min_support different texts, and of which PMI(t; e) >= threshold * IC(e), discloses e: wherever it stands in a
+text that holds e its spans are added as kind ``term``, and ``sanitise`` generalises entities to their kind and removes
+such terms. Below min_support texts there is no estimate: an entity that fewer texts hold has no disclosing terms.
 
 Defined results: null text counts as empty; a text without personal data has zero counts, an empty spans string and the
-hash of the empty string; repeated rows get equal results and their equal contexts count once; an empty table gives an
-empty result; other columns are ignored.
+hash of the empty string; repeated rows get equal results, and equal texts count once as support; terms at the threshold
+disclose; spans that would overlap a pattern's are left out; very long texts are searched whole, positions in about
+n ** 1.5 steps for n matches; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import staged
-from lexigrid.llm.spans import matches, none, overlaps, texts
+from lexigrid.llm.spans import apart, matches, none, texts
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD, PHONE = r"[0-9](?:[\x20-]?[0-9])++", r"\+[0-9][\x20().0-9-]+[0-9]"
+#: Runs of 16 digits or more, from where the base pattern's run would begin: shorter ones are no cards.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,}+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
-REACH = 64
-CONTEXT = "array<struct<entity:string,context:bigint,terms:array<struct<start:bigint,end:bigint,val:string>>>>"
 
 
 def _digits(text: Column) -> Column:
@@ -56,47 +58,49 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _contexts(text: Column, kind: str, spans: Column, taken: Column) -> Column:
-    """For each span: its entity, a hash of the text beside it, and the terms there that touch no span or edge."""
-
-    def beside(s: Column) -> Column:
-        start = F.greatest(F.lit(0), s["start"] - REACH)
-        left = F.substr(text, (start + 1).cast("int"), (s["start"] - start).cast("int"))
-        right = F.substr(text, (s["end"] + 1).cast("int"), F.lit(REACH))
-        shift = lambda spans, by: F.transform(spans, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["val"]).alias("val")))
-        before = F.filter(matches(left, TERM), lambda t: (t["start"] > 0) | (start == 0))
-        after = F.filter(matches(right, TERM), lambda t: t["end"] < REACH)
-        terms = F.filter(F.concat(shift(before, start), shift(after, s["end"])), lambda t: ~overlaps(taken, t["start"], t["end"]))
-        return F.struct(F.concat_ws(":", F.lit(kind), F.lower(s["val"])).alias("entity"), F.xxhash64(left, right).alias("context"), terms.alias("terms"))
-
-    return F.transform(spans, beside).cast(CONTEXT)
-
-
-def disclosing(contexts: DataFrame, docs: DataFrame, threshold: float, min_support: int) -> DataFrame:
-    """(entity, term) pairs whose term reveals the entity, from (entity, context, terms) rows and the whole corpus."""
-    each = contexts.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["val"]))).alias("term")).distinct()
-    joint = each.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
-    entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    held = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    df_t = docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    words = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def disclosing(held: DataFrame, docs: DataFrame, threshold: float, min_support: int) -> DataFrame:
+    """(key, term) of each row of held (key, entity, text) and each term there that reveals its entity."""
+    rows = held.select("key", "entity", F.xxhash64("text").alias("of"), "text")
+    by_text = rows.groupBy("entity", "of").agg(F.count("*").alias("c"))
+    entities = by_text.groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_support)
+    entities = staged(entities.select("entity", "n_e"), "entities")
+    # Only rows of entities with support give terms.
+    each = rows.join(entities, "entity").select("key", "entity", "of", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
+    joint = each.groupBy("entity", "n_e", "term", "of").agg(F.count("*").alias("c")).groupBy("entity", "n_e", "term")
+    joint = staged(joint.agg(F.sum("c").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= min_support), "joint")
+    wanted = joint.select("term").distinct()
+    words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    df_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(docs.count()))
-    pmi = F.log2(n * F.col("n_te") / (F.greatest("df", "n_te") * F.col("n_e")))
-    scored = joint.join(entities, "entity").join(df_t, "term").where(F.col("n_e") < n)
-    return scored.where(pmi >= threshold * F.log2(n / F.col("n_e"))).select("entity", "term")
+    pmi = F.log2(n * F.col("n_te") / (F.col("df") * F.col("n_e")))
+    scored = joint.join(df_t, "term").where((F.col("n_e") < n) & (pmi >= threshold * F.log2(n / F.col("n_e"))))
+    pairs = staged(scored.select("entity", "term"), "disclosing")
+    return each.join(pairs, ["entity", "term"], "left_semi").select("key", "term").distinct()
 
 
 def pii_spans(docs: DataFrame, threshold: float = 0.9, min_support: int = 3) -> DataFrame:
     """(doc_id, email, ip, card, phone, term): spans by kind of each row."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
-    df = df.withColumn("taken", F.concat(*KINDS))
-    df = df.withColumn("contexts", F.concat(*(_contexts(F.col("text"), k, F.col(k), F.col("taken")) for k in KINDS)))
-    df = staged(df.select("doc_id", "row", *KINDS, "contexts"), "pii")
-    contexts = df.where("size(contexts) > 0").select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-    pairs = staged(disclosing(contexts, docs, threshold, min_support), "disclosing")
-    terms = contexts.select("row", "entity", F.explode("terms").alias("t")).withColumn("term", F.col("t.val")).join(pairs, ["entity", "term"], "left_semi")
-    added = terms.groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("term"))  # terms beside one text's spans
-    return df.join(added, "row", "left").select("doc_id", *KINDS, F.coalesce("term", none()).alias("term"))
+    df = df.select("doc_id", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()))
+    entity = lambda kind: lambda s: F.concat_ws(":", F.lit(kind), F.lower(s["val"]))
+    df = df.withColumn("entities", F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in KINDS))))
+    some = F.size("entities") > 0
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.col("text"))
+    df = df.select("doc_id", *KINDS, "entities", F.when(some, F.md5(row)).alias("key"), F.when(some, F.col("text")).alias("text"))
+    df = staged(df, "pii")
+    holders = df.where("key is not null")
+    held = holders.select("key", F.explode("entities").alias("entity"), "text")
+    added = disclosing(held, docs, threshold, min_support).groupBy("key").agg(F.collect_set("term").alias("terms"))  # one text's terms
+    spans = F.filter(matches(F.col("text"), TERM), lambda s: F.array_contains("terms", F.lower(s["val"])))
+    marked = holders.join(added, "key", "left").withColumn("term", F.when(F.col("terms").isNotNull(), apart(spans, F.concat(*KINDS))).otherwise(none()))
+    clean = df.where("key is null").select("doc_id", *KINDS, none().alias("term"))
+    return marked.select("doc_id", *KINDS, "term").union(clean)
 
 
 def _label(to: str) -> Callable[[Column], Column]:
