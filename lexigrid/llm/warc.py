@@ -4,6 +4,11 @@ Records are grouped into independent Zstandard frames; a bundle is a row of fram
 public seekable format (a skippable frame with each frame's compressed and uncompressed size). The index maps a record
 to its bundle, frame, offset within the frame and length, so one record is read by decompressing one frame.
 
+A bundle's name is drawn anew by each attempt of a task, and the index, which Spark commits, names the bundles that count:
+files of attempts that were lost or overtaken stay beside them unnamed. Workers open folders by ``pyarrow.fs``: local
+paths and ``file``, ``s3`` (also as ``s3a``, ``s3n``), ``gs``, ``abfs`` and, where libhdfs is installed, ``hdfs``, with
+the credentials that library finds in a worker's environment. A record is held whole while it is written or read.
+
 Defined results: null html is an empty payload; payloads under 100 bytes are all responses; of equal larger payloads the
 row with the smallest page_id is the response (each of them, if rows repeat that id) and the others are revisits; a null
 page_id revisits if a row with an id has its payload, else it is a response; a null url is left out of the record;
@@ -13,6 +18,7 @@ an empty table gives no bundle and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -25,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import fresh_path, small_batches, staged
+from lexigrid.llm.common import fresh_path, pieces, staged
 
 LEAST_BYTES, FRAME_BYTES, BUNDLE_BYTES = 100, 1 << 18, 1 << 25
 #: Numbers of the seekable format: the skippable frame's magic, and the seek table's.
@@ -67,6 +73,11 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI as Hadoop writes it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def read_seek_table(file) -> list[tuple[int, int, int]]:
     """(offset, compressed size, uncompressed size) of each frame of an open bundle."""
     size = file.size()
@@ -83,7 +94,7 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
 
 def read_record(bundle: str, frame: int, offset: int, length: int) -> dict:
     """Random access: one record by its place in the index."""
-    store, path = fs.FileSystem.from_uri(bundle)
+    store, path = _store(bundle)
     with store.open_input_file(path) as file:
         at, packed, _ = read_seek_table(file)[frame]
         data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, at))
@@ -92,18 +103,21 @@ def read_record(bundle: str, frame: int, offset: int, length: int) -> dict:
 
 def _write_batches(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3, write_content_size=True)
         count = 0
         plain, inside = bytearray(), []  # the frame being filled: its bytes, its records
         out, frames, places = None, [], []  # the bundle being written
-        temporary = f"{base}/.{part}-{uuid.uuid4().hex}"
+        attempt = uuid.uuid4().hex
+
+        def name() -> str:
+            return f"part-{part:06d}-{count:05d}-{attempt}.warc.zst"
 
         def flush() -> None:
             nonlocal out
             if plain:
-                out = out or store.open_output_stream(temporary)
+                out = out or store.open_output_stream(f"{base}/{name()}", compression=None)  # frames are compressed here
                 packed = press.compress(bytes(plain))
                 out.write(packed)
                 places.extend((k, len(frames), at, n) for k, at, n in inside)
@@ -116,18 +130,16 @@ def _write_batches(folder: str):
             if out:
                 out.write(seek_table(frames))
                 out.close()
-                name = f"part-{part:06d}-{count:05d}.warc.zst"  # the same in each attempt, whole when it appears
-                store.move(temporary, f"{base}/{name}")
                 ids, frame, offset, length = zip(*places, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string()), pa.array([f"{folder}/{name}"] * len(ids)), pa.array(frame, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
+                    [pa.array(ids, pa.string()), pa.array([f"{folder}/{name()}"] * len(ids)), pa.array(frame, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())],
                     ["record_id", "bundle", "frame", "offset", "length"],
                 )
                 frames.clear()
                 places.clear()
                 out, count = None, count + 1
 
-        for batch in batches:
+        for batch in pieces(batches):
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = record(page, url, payload, digest, refers)
                 inside.append((page, len(plain), len(data)))
@@ -144,7 +156,6 @@ def _write_batches(folder: str):
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the bundles under folder (any store that pyarrow.fs opens) and returns the index."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
@@ -161,7 +172,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for bundle in batch.column(0).to_pylist():
-            store, path = fs.FileSystem.from_uri(bundle)
+            store, path = _store(bundle)
             with store.open_input_file(path) as file:
                 for at, packed, plain in read_seek_table(file):
                     rows = []
@@ -183,9 +194,11 @@ def _id(urn: str) -> int | None:
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """Every record of the bundles in an index, read from the bundles frame by frame."""
+    """Every record of the bundles in an index, read from the bundles frame by frame, a few bundles to a task."""
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    tasks = min(100_000, max(1, bundles.count()))
+    dealt = bundles.repartitionByRange(tasks, "bundle")
+    return dealt.mapInArrow(_read_batches, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
