@@ -405,3 +405,174 @@ def test_mixing(spark, folder, docs, monkeypatch, rows_per_bucket):
     assert {r["doc_id"]: r["taken"] for r in mix} == {k: r["taken"] for k, r in rows.items() if r["taken"]}
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark, docs):
+    rows = [(1, "license\nbody"), (None, "alpha\nbravo"), (None, "license\ncharlie"), (2, "delta\nlicense"), (2, "echo\nalpha\nfoxtrot"), (None, "alpha")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 9, r["text"]) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, "license\nbody"), (2, "delta"), (2, "echo\nalpha\nfoxtrot"), (9, "bravo"), (9, "charlie")]
+    marked = lines.duplicate_lines(df)
+    assert marked.count() == 12 and marked.where("duplicate").count() == 4
+    twice = lines.dedup_lines(df.union(df))
+    assert sorted((r["doc_id"] or 9, r["text"]) for r in twice.collect()) == got
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    rng = random.Random(30)
+    plain = docs([prose(rng, 60) for _ in range(5)])
+    names = ["taken", "n", "row", "_Row", "Flags", "any", "left", "_found", "_KEEP", "_Id", "place", "bucket", "KEY", "component_id"]
+    df = plain.selectExpr("*", *(f"concat('own', doc_id) as {name}" for name in names))
+    item = spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string")
+    for stage in (lines.dedup_lines, simhash.near_dedup, lambda d: decontam.drop_contaminated(d, item), mixing.mix_documents, quality.quality_filter):
+        out = stage(df)
+        rows = out.collect()
+        assert rows and all(r[5 + k] == f"own{r['doc_id']}" for r in rows for k in range(len(names)))
+    mixed = mixing.mix_documents(plain.selectExpr("*", "1 as TAKEN", "2 as taken_0"))
+    assert mixed.columns[5:] == ["taken_1", "taken_0", "taken"] and {r[5:7] for r in mixed.collect()} == {(1, 2)}
+
+
+def test_mixing_rows_without_id(spark):
+    rows = [(None, "a b c d", "s"), (None, "e f g h", "s"), (None, "e f g h", "s"), (3, "i j k l", "t"), (3, "m n", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_documents(df).collect()
+    assert all(r["taken"] <= 2 * len(r["text"].split()) for r in mix) and abs(sum(r["taken"] for r in mix) - 27) <= 2
+
+
+@pytest.mark.parametrize("blocks", [4, 8, 16])
+def test_every_block_width_finds_all_links(spark, blocks):
+    rng = np.random.default_rng(31)
+    seeds = rng.integers(0, 2**63, 150, np.uint64)
+    twins = np.array([int(s) ^ 1 << int(a) ^ 1 << int(b) for s, (a, b) in zip(seeds, (rng.choice(64, 2, replace=False) for _ in seeds), strict=True)], np.uint64)
+    df = spark.createDataFrame([(int(v),) for v in np.unique(np.concatenate([seeds, twins])).view(np.int64)], "fp long")
+    links = {frozenset((r["u"], r["v"])) for r in simhash.near_links(df, 2, blocks=blocks).collect()}
+    assert links == {frozenset(map(int, np.array(p, np.uint64).view(np.int64))) for p in zip(seeds, twins, strict=True)}
+
+
+def test_repeat_words_where_upper_bits_collide(spark):
+    from lexigrid.llm.common import words_of
+
+    word = lambda k: F.concat(F.lit("w"), F.xxhash64("id", F.lit(k)).cast("string"))
+    windows = spark.range(0, 600_000, 1, 4).select(F.array(word(1), word(2), word(3)).alias("w"))
+    zipped = F.get(F.transform(F.arrays_zip(*(F.slice("w", k, 1) for k in (1, 2, 3))), lambda x: F.xxhash64(x)), 0)
+    pairs = windows.select("w", F.shiftright(zipped, quality.PLACE).alias("upper")).groupBy("upper").agg(F.collect_list("w").alias("ws")).where("size(ws) > 1").collect()
+    assert pairs
+    texts = []
+    for k, r in enumerate(pairs):
+        a, b = (" ".join(w) for w in r["ws"][:2])
+        texts.append(f"{a} x{k} {b} y{k} {a} z{k} {b}")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r[0] for r in df.select(quality.repeat_words(words_of(F.col("text")))).collect()} == {12}
+
+
+def test_quality_order_is_the_same_at_each_call(spark, docs):
+    rng = random.Random(32)
+    df = docs([prose(rng, rng.randint(5, 150)) for _ in range(80)] + ["### " * 80] * 5)
+    assert len({tuple(r.name for r in quality.plan_order(df)) for _ in range(3)}) == 1
+
+
+def test_matches_of_long_texts(spark):
+    from lexigrid.llm.spans import apart, matches
+
+    n = 200_000
+    df = spark.createDataFrame([("12 " * n,)], "t string").select(matches(F.col("t"), "[0-9]+").alias("m"))
+    assert df.select(F.size("m"), F.get("m", n - 1)["start"]).first()[:] == (n, 3 * n - 3)
+    rng = random.Random(33)
+    cut = lambda: sorted(rng.sample(range(60), 8))
+    rows = [([(a[k], a[k + 1], "v") for k in range(0, 8, 2)], [(b[k], b[k + 1], "w") for k in range(0, rng.choice([0, 4, 8]), 2)]) for a, b in ((cut(), cut()) for _ in range(80))]
+    span = "array<struct<start:bigint,end:bigint,val:string>>"
+    for r in spark.createDataFrame(rows, f"a {span}, b {span}").select("a", "b", apart(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r["c"] == [x for x in r["a"] if not any(y["start"] < x["end"] and y["end"] > x["start"] for y in r["b"])]
+
+
+def test_terms_against_brute_force(spark, docs):
+    import math
+
+    rng = random.Random(34)
+    people = [f"p{k}@x.example" for k in range(4)]
+    names = ["zorblax", "quimbly", "ordinary"]
+    texts = []
+    for k in range(80):
+        extra = [rng.choice(people)] * (k % 3 == 0) + [n for n in names if rng.random() < (0.9 if n == "ordinary" else 0.0)]
+        if extra and extra[0] == people[0]:
+            extra.append("zorblax")
+        if extra and extra[0] == people[1]:
+            extra.append("Quimbly")
+        words = prose(rng, 20).split() + extra
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    tokens = [{w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(EMAIL, " ", t))} | {w for w in ("example",) if "@" in t} for t in texts]
+    held = {p: [k for k, t in enumerate(texts) if p in t] for p in people}
+    want = set()
+    for p, ks in held.items():
+        for term in set().union(*(tokens[k] for k in ks)) - {"example"}:
+            both, df = sum(term in tokens[k] for k in ks), sum(term in t for t in tokens)
+            if both >= 3 and math.log2(80 * both / (df * len(ks))) >= 0.9 * math.log2(80 / len(ks)):
+                want |= {(k, m.start(), m.end()) for k in ks for m in re.finditer(r"[^\W\d_]+", texts[k]) if m[0].lower() == term}
+    got = {(r["doc_id"], t["start"], t["end"]) for r in pii.pii_spans(docs(texts)).collect() for t in r["term"]}
+    assert got == want and want
+
+
+def test_few_made_tokens_are_reported(spark):
+    rng = random.Random(35)
+    words = "apple river stone cloud green bright silver mountain winter summer yellow forest garden window bridge castle".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = {"_".join(rng.choice(words) for _ in range(4)) + str(rng.randint(0, 9999)) for _ in range(3000)}
+    drawn = {"".join(rng.choice(letters) for _ in range(24)) for _ in range(30)}
+    found = {r[0] for r in secrets.random_tokens(spark.createDataFrame([(t,) for t in made | drawn], "val string"), 0.05).collect()}
+    assert len(found & drawn) >= 27 and len(found - drawn) <= 0.05 * len(found)
+
+
+@pytest.mark.parametrize(("letters", "size"), [("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 32), ("0123456789", 40), ("abcdefghijklmnopqrstuvwxyz0123456789-_", 40)])
+def test_every_alphabet_is_tested(spark, letters, size):
+    rng = random.Random(36)
+    drawn = {"".join(rng.choice(letters) for _ in range(size)) for _ in range(60)}
+    found = secrets.random_tokens(spark.createDataFrame([(t,) for t in drawn], "val string"), 0.05).count()
+    assert found >= 54
+
+
+def test_language_without_letters_many_languages_and_long_texts(spark, docs, monkeypatch):
+    rng = random.Random(37)
+    names, texts, langs = [f"l{k:02d}" for k in range(70)], [], []
+    for k, name in enumerate(names):
+        own = [f"{a}{b}{c}" for a, b, c in zip(rng.sample("bcdfghklmnpqrstvwxz", 12), rng.choices("aeiouy", k=12), rng.sample("bcdfghklmnpqrstvwxz", 12), strict=True)]
+        for _ in range(4):
+            texts.append(" ".join(rng.choice(own) + rng.choice(own) for _ in range(40)))
+            langs.append(name)
+    df = docs(texts, langs)
+    got, table = langid.train(df.select("lang", "text"))
+    assert got == names and table.shape == (langid.SLOTS, 2)
+    more = docs([*texts, "\u00b2 \u00bd \u2460", "x\u00b2"]).withColumn("held_out", F.lit(True))
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(more, got, table).collect()}
+    assert sum(found[k] == langs[k] for k in range(len(texts))) >= 0.97 * len(texts)
+    assert found[len(texts)] == "und" and found[len(texts) + 1] != "und"
+    whole = [np.sort(np.concatenate([h for h, _ in langid.grams([t])])) for t in texts[:3]]
+    monkeypatch.setattr(langid, "PIECE", 64)
+    for t, want in zip(texts[:3], whole, strict=True):
+        assert (np.sort(np.concatenate([h for h, _ in langid.grams([t])])) == want).all()
+
+
+def test_training_sample_is_bounded_and_never_empty(spark, docs):
+    texts = [f"text number {k}" for k in range(900)] + ["the same"] * 600
+    df = docs(texts, ["aa"] * 800 + ["bb"] * 100 + ["aa"] * 600).select("lang", "text")
+    by = {r["lang"]: r["count"] for r in langid.sample(df, 90).groupBy("lang").count().collect()}
+    assert 20 <= by["aa"] <= 90 and 60 <= by["bb"] <= 100
+    # A table of 1e11 rows: the line is a double below 2 ** 63, never cut to 0.
+    assert 5_000 * float(1 << 63) / 1e11 > 1e11
+
+
+def test_decontamination_of_rows_without_id(spark):
+    rng = random.Random(38)
+    item = prose(rng, 20)
+    rows = [(None, f"{prose(rng, 20)} {item}"), (None, prose(rng, 40)), (4, f"{item} {prose(rng, 9)}"), (4, prose(rng, 30)), (5, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontam.drop_contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(repr, left)) == sorted(map(repr, spark.createDataFrame([rows[k] for k in (1, 3, 4, 5)], df.schema).collect()))
+
+
+def test_bundles_are_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(39)
+    pages = spark.createDataFrame([(k, "u", prose(rng, 30)) for k in range(200)], "page_id long, url string, html string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a bundle for each partition
+    index = warc.write_warc(pages, f"file://{tmp_path}/many")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = warc.read_warc(index)
+    assert read.count() == 200 and read.rdd.getNumPartitions() == index.select("bundle").distinct().count() > 1
