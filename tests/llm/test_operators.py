@@ -576,3 +576,29 @@ def test_bundles_are_read_by_many_tasks(spark, tmp_path):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     read = warc.read_warc(index)
     assert read.count() == 200 and read.rdd.getNumPartitions() == index.select("bundle").distinct().count() > 1
+
+
+def test_substring_recall_and_repeats_within_a_document(spark, docs):
+    rng = random.Random(40)
+    texts = []
+    for _ in range(150):
+        passage = prose(rng, 80)[: substring.PASSAGE]
+        texts += [f"{prose(rng, rng.randint(20, 40))}|{passage}|{prose(rng, 30)}" for _ in range(2)]
+    twice = prose(rng, 50)
+    texts += [f"{prose(rng, 20)} {twice} {prose(rng, 20)} {twice}", *(prose(rng, 100) for _ in range(100))]
+    spans = substring.repeated_spans(docs(texts)).collect()
+    assert len({r["doc_id"] for r in spans if r["doc_id"] < 300}) >= 0.9 * 300
+    own = [r for r in spans if r["doc_id"] == 300]
+    assert len(own) == 2 and all(r["first_doc"] == 300 for r in own) and not [r for r in spans if r["doc_id"] > 300]
+    for r in spans:  # against brute force: every span stands in its other document, or twice in its own
+        part, other = texts[r["doc_id"]].encode()[r["start"] : r["end"]], texts[r["first_doc"]].encode()
+        assert other.count(part) > (r["doc_id"] == r["first_doc"])
+
+
+def test_scattered_chunks_are_no_span(spark, docs):
+    rng = random.Random(41)
+    long = prose(rng, 400)
+    ends = [0, *substring.boundaries(np.frombuffer(long.encode(), np.uint8), np.array([0])).tolist()]
+    parts = [long[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    mixed = [prose(rng, 8) + p + prose(rng, 8) for p in parts[:60]]  # each chunk in another document
+    assert substring.repeated_spans(docs([long, *mixed])).count() == 0
