@@ -589,10 +589,10 @@ def test_substring_recall_and_repeats_within_a_document(spark, docs):
     spans = substring.repeated_spans(docs(texts)).collect()
     assert len({r["doc_id"] for r in spans if r["doc_id"] < 300}) >= 0.9 * 300
     own = [r for r in spans if r["doc_id"] == 300]
-    assert len(own) == 2 and all(r["first_doc"] == 300 for r in own) and not [r for r in spans if r["doc_id"] > 300]
+    assert len(own) == 2 and all(r["other"] == 300 for r in own) and not [r for r in spans if r["doc_id"] > 300]
     for r in spans:  # against brute force: every span stands in its other document, or twice in its own
-        part, other = texts[r["doc_id"]].encode()[r["start"] : r["end"]], texts[r["first_doc"]].encode()
-        assert other.count(part) > (r["doc_id"] == r["first_doc"])
+        part, other = texts[r["doc_id"]].encode()[r["start"] : r["end"]], texts[r["other"]].encode()
+        assert other.count(part) > (r["doc_id"] == r["other"])
 
 
 def test_scattered_chunks_are_no_span(spark, docs):
