@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrid.functions.lists import ALIASES, LISTS
 from lexigrid.functions.text import entry
 from lexigrid.plans.catalog import distance
 from lexigrid.plans.syntax import PatternError
@@ -18,25 +19,6 @@ from lexigrid.plans.syntax import PatternError
 #: Bounds: names under one kind, entries of a list that isn't built in, neighbours by default.
 MOST_KIND, MOST_LIST, NEIGHBOURS = 4_000, 20_000, 32
 
-#: Built-in lists: fixed values.
-LISTS = {
-    "planets": "mercury venus earth mars jupiter saturn uranus neptune".split(),
-    "days": "monday tuesday wednesday thursday friday saturday sunday".split(),
-    "months": "january february march april may june july august september october november december".split(),
-    "seasons": "spring summer autumn winter".split(),
-    "colours": "red orange yellow green blue indigo violet black white brown pink grey purple".split(),
-    "compass": "north east south west".split(),
-    "notes": "do re mi fa sol la ti".split(),
-    "greek": "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split(),
-    "nato": "alfa bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu".split(),
-    "numbers": "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(),
-    "zodiac": "aries taurus gemini cancer leo virgo libra scorpio sagittarius capricorn aquarius pisces".split(),
-    "suits": "clubs diamonds hearts spades".split(),
-    "chess": "king queen rook bishop knight pawn".split(),
-    "metals": "gold silver copper iron tin lead zinc nickel mercury platinum".split(),
-}
-ALIASES = {"colors": "colours", "directions": "compass", "solfege": "notes", "weekdays": "days"}
-
 
 # Readers of the text formats.
 
@@ -80,7 +62,7 @@ def remote_list(spark: SparkSession, path: str, url: str) -> DataFrame:
     """A list registered under its URL: an entry a line, # begins a comment."""
     rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     kept = rows.select(F.lit(url).alias("list"), "pos", entry(F.regexp_replace("line", "#.*", "")).alias("entry"))
-    return kept.where(F.col("entry") != "").orderBy("pos").limit(MOST_LIST)
+    return kept.where(F.col("entry") != "").orderBy("pos").limit(MOST_LIST + 1)  # one too many, so that the lookup refuses it
 
 
 # Builders.
@@ -136,17 +118,18 @@ def near_words(neighbours: DataFrame, word: str, n: int = NEIGHBOURS) -> DataFra
 
 
 def kind_names(sense: DataFrame, edge: DataFrame, word: str) -> DataFrame:
-    """(entry): the names of the word's senses and of all senses below them. The graph has no cycles."""
-    spark = sense.sparkSession
-    sense.createOrReplaceTempView("_lexigrid_sense")
-    edge.createOrReplaceTempView("_lexigrid_edge")
-    return spark.sql(
-        """with recursive below(id) as (
-             select sense_id from _lexigrid_sense where name = :word
-             union all select e.child from below b join _lexigrid_edge e on e.parent = b.id)
-           select distinct s.name as entry from (select distinct id from below) b join _lexigrid_sense s on s.sense_id = b.id""",
-        args={"word": word},
-    )
+    """(entry): the names of the word's senses and of all senses below them.
+
+    A frontier a round, without those seen before, so a sense that many paths lead to is one row and cycles end; a round's
+    frontier is as long as the graph is wide, and there are as many rounds as it is deep.
+    """
+    empty = sense.select(F.col("sense_id").alias("id")).limit(0)
+    seen, front = empty, sense.where(F.col("name") == word).select(F.col("sense_id").alias("id")).distinct().persist()
+    while not front.isEmpty():
+        seen = seen.union(front)
+        below = front.join(edge, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct()
+        front = below.join(seen, "id", "left_anti").persist()
+    return seen.join(sense, F.col("id") == F.col("sense_id")).select(F.col("name").alias("entry")).distinct()
 
 
 @dataclass
@@ -195,11 +178,14 @@ class Datasets:
             return [e for e in map(normal, text.split(",")) if e]
         url = text.strip().startswith(("http://", "https://"))
         key = text.strip() if url else normal(text)
-        key = ALIASES.get(key, key)
+        key = ALIASES.get(key.replace(" ", ""), key)
+        key = key.replace(" ", "") if key.replace(" ", "") in LISTS else key
         if key in LISTS:
             return LISTS[key]
         if self.lists is not None:
-            found = [r[0] for r in self.lists.where(F.col("list") == key).orderBy("pos").select("entry").limit(MOST_LIST).collect()]
+            found = [r[0] for r in self.lists.where(F.col("list") == key).orderBy("pos").select("entry").limit(MOST_LIST + 1).collect()]
+            if len(found) > MOST_LIST:
+                raise PatternError(f'the list "{text}" has over {MOST_LIST} entries')
             if found:
                 return found
         names = [*LISTS, *ALIASES] + ([r[0] for r in self.lists.select("list").distinct().limit(MOST_LIST).collect()] if self.lists is not None else [])

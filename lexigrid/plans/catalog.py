@@ -24,84 +24,84 @@ CATALOG = {
     for c in [
         *_rows(
             "word", "pattern", "literal",
-            ("rhyme", "words in a rhyme group of the word", "{rhyme:night}"),
-            ("homo", "words pronounced like the word", "{homo:night}"),
-            ("like", "words that share a sense with the word", "{like:big}"),
-            ("near", "the word and its nearest neighbours by embedding", "{near 10:king}"),
-            ("kind", "names of the word's senses and of all below them", "{kind:bird}"),
-            ("list", "entries of a named list, of commas, or of a registered URL", "{list:planets}"),
+            ("rhyme", "ends in the same sounds as the word", "{rhyme:stone}"),
+            ("homo", "sounds the same as the word", "{homo:pair}"),
+            ("like", "a synonym: shares a sense with the word", "{like:quick}"),
+            ("near", "the word or one of its nearest by vector", "{near 5:river}"),
+            ("kind", "the word's senses and everything filed under them", "{kind:tree}"),
+            ("list", "an entry of a list: by name, written out, or registered under an address", "{list:metals}"),
         ),
         *_rows(
             "count", "pattern", "wrap",
-            ("sum", "sum of letter values, a=1 to z=26", "{sum=52:A*}"),
-            ("scrabble", "sum of tile values", "{scrabble>20:A*}"),
-            ("count", "characters of a set", "{count(vowel)>=4:A*}"),
-            ("letters", "number of letters", "{letters=11:A*}"),
-            ("words", "number of words", "{words=3:_*}"),
-            ("all", "each character of a set at least once", "{all(aeiou):A*}"),
-            ("distinct", "no letter twice", "{distinct:A{6}}"),
-            ("maxrep", "no letter more than n times", "{maxrep=2:A*}"),
+            ("sum", "letter values (a is 1, z is 26) add up to this", "{sum=40..45:A{4}}"),
+            ("scrabble", "tile values add up to this", "{scrabble>=18:A{6}}"),
+            ("count", "how many characters are of a set", "{count(rst)=3:A{6}}"),
+            ("letters", "how many letters there are", "{letters=9:_*}"),
+            ("words", "how many words there are", "{words=2:A*}"),
+            ("all", "every character of a set occurs", "{all(xyz):A*}"),
+            ("distinct", "all characters differ", "{distinct:A{8}}"),
+            ("maxrep", "the commonest character occurs this often at most", "{maxrep=1:A{7}}"),
         ),
         *_rows(
             "bag", "pattern", "literal",
-            ("sub", "spelled from these letters, each used at most as often as given", "{sub:notebook}"),
-            ("bank", "spelled from these letters, all of them used", "{bank:stream}"),
+            ("sub", "made of some of these letters, none more often than it is written", "{sub:gardening}"),
+            ("bank", "made of all these letters, each as often as you like", "{bank:least}"),
         ),
         *_rows(
             "edit", "pattern", "inner",
-            ("del", "with n characters left out", "{del1:plate}"),
-            ("add", "with n characters put in", "{add1:house}"),
-            ("subst", "with n characters replaced", "{subst1:house}"),
-            ("edit", "within n edits; without a number, weighted by their count", "{edit<=2:house}"),
+            ("del", "the inner text less n characters", "{del2:{list:days}}"),
+            ("add", "the inner text with n characters more", "{add1:crow}"),
+            ("subst", "the inner text with n characters changed", "{subst1:stone}"),
+            ("edit", "at most n edits away; without a number the nearer weigh more", "{edit<=1:silver}"),
         ),
         *_rows(
             "cipher", "pattern", "literal",
-            ("caesar", "any shift of the text, or one: +n", "{caesar:khoor}"),
-            ("rot", "the text shifted by n", "{rot7:abc}"),
-            ("rot13", "the text shifted by 13", "{rot13:uryyb}"),
-            ("atbash", "the text with the alphabet reversed", "{atbash:svool}"),
-            ("vigenere", "the text decoded with a repeating key", "{vigenere(key):rijvs}"),
-            ("playfair", "the text decoded with a key square", "{playfair(secret):hfbs}"),
+            ("caesar", "the text shifted by any distance, or by +n", "{caesar:dro}"),
+            ("rot", "the text shifted by this distance", "{rot5:mjqqt}"),
+            ("rot13", "the text shifted by half the alphabet", "{rot13:pnxr}"),
+            ("atbash", "the text with a for z, b for y and so on", "{atbash:xzpv}"),
+            ("vigenere", "decoded by a key that repeats", "{vigenere(lemon):nem}"),
+            ("playfair", "decoded by the square of a key", "{playfair(garden):gdra}"),
         ),
         *_rows(
             "spell", "pattern", "literal",
-            ("t9", "words on these telephone keys", "{t9:43556}"),
-            ("enum", "words of these lengths", "{enum:4,3,5}"),
-            ("morse", "any split of dots and dashes", "{morse:.....}"),
-            ("a1z26", "any split of digits into 1 to 26", "{a1z26:85}"),
-            ("braille", "cells of dot numbers", "{braille:125 15}"),
-            ("bacon", "groups of five a or b, by either table", "{bacon:aabbb aabaa}"),
-            ("bin5", "groups of five bits", "{bin5:01000 01001}"),
-            ("semaphore", "pairs of flag directions", "{semaphore:se-s e-ne}"),
-            ("ascii", "character codes", "{ascii:104 105}"),
-            ("polybius", "row and column pairs", "{polybius:23 24}"),
+            ("t9", "typed with these telephone keys", "{t9:2255}"),
+            ("enum", "words as long as these numbers say", "{enum:2,7}"),
+            ("morse", "read from dots and dashes without gaps", "{morse:.--.}"),
+            ("a1z26", "read from letter numbers without gaps", "{a1z26:1205}"),
+            ("braille", "read from the dots of each cell", "{braille:14 1 2345}"),
+            ("bacon", "read from fives of a and b, in the old or the new table", "{bacon:aaaba aaaaa}"),
+            ("bin5", "read from fives of bits", "{bin5:00011 00001}"),
+            ("semaphore", "read from the places of two flags", "{semaphore:sw-s w-s}"),
+            ("ascii", "read from character codes", "{ascii:99 97 116}"),
+            ("polybius", "read from rows and columns of the square", "{polybius:13 11 44}"),
         ),
-        *_rows("spell", "pattern", "wrap", ("elements", "spelled in element symbols", "{elements:A{6}}")),
+        *_rows("spell", "pattern", "wrap", ("elements", "can be written in symbols of the elements", "{elements:A{8}}")),
         *_rows(
             "shape", "pattern", "wrap",
-            ("roman", "letters that are Roman numerals", "{roman:A*}"),
-            ("rot180", "letters that survive a half turn", "{rot180:A{4}}"),
-            ("mirror", "capitals with a vertical axis", "{mirror:A{5}}"),
-            ("sevenseg", "letters of a seven-segment display", "{sevenseg:A{4}}"),
-            ("holes", "characters with n enclosed areas", "{holes=0:A{5}}"),
-            ("row1", "letters of the upper keyboard row", "{row1:A{5}}"),
-            ("row2", "letters of the middle keyboard row", "{row2:A{5}}"),
-            ("row3", "letters of the lower keyboard row", "{row3:A{4}}"),
-            ("ascending", "letters in alphabetical order", "{ascending:A{5}}"),
-            ("descending", "letters in reverse alphabetical order", "{descending:A{4}}"),
+            ("roman", "only letters that are Roman digits", "{roman:A{3,}}"),
+            ("rot180", "only letters that stay letters upside down", "{rot180:A{5,}}"),
+            ("mirror", "only letters whose capitals look alike in a mirror", "{mirror:A{4,}}"),
+            ("sevenseg", "only letters that a calculator's display can show", "{sevenseg:A{7}}"),
+            ("holes", "this many closed loops in the characters", "{holes=2:A{4}}"),
+            ("row1", "typed on the row of q", "{row1:A{7,}}"),
+            ("row2", "typed on the row of a", "{row2:A{6}}"),
+            ("row3", "typed on the row of z", "{row3:A{2}}"),
+            ("ascending", "no letter before its neighbour on the left in the alphabet", "{ascending:A{6}}"),
+            ("descending", "no letter after its neighbour on the left in the alphabet", "{descending:A{5}}"),
         ),
         *_rows(
             "match", "predicate", "wrap",
-            ("compound", "cuts into n known words", "{compound 2:A{9}}"),
-            ("palindrome", "reads the same backwards", "{palindrome:A{5}}"),
-            ("reversible", "is another known word backwards", "{reversible:A{4}}"),
-            ("syllables", "number of syllables", "{syllables=3:A{7}}"),
-            ("stress", "stress pattern, 1 strong and 0 weak", "{stress 010:A{8}}"),
-            ("anagram", "rearranges an entry of a list, or a match of a pattern", "{anagram planets:A{5}}"),
-            ("iso", "cryptogram: a one-to-one letter substitution of the text", "{iso:xjxj}"),
-            ("eq", "two captures are equal", "{eq a,b:{=a:A{3}} {=b:A{3}}}"),
-            ("rev", "one capture is the other backwards", "{rev a,b:{=a:A{3}} {=b:A{3}}}"),
-            ("shift", "one capture is the other shifted", "{shift13 a,b:{=a:A{3}} {=b:A{3}}}"),
+            ("compound", "falls into n words that the table knows", "{compound 3:A{10}}"),
+            ("palindrome", "the same from either end", "{palindrome:A{7}}"),
+            ("reversible", "the table knows its letters from the end too", "{reversible:A{5}}"),
+            ("syllables", "so many syllables by the dictionary", "{syllables=4:A*}"),
+            ("stress", "the dictionary's accents, 1 where one is and 0 where none is", "{stress 100:A{6,}}"),
+            ("anagram", "the letters of a list's entry, or of a pattern's match, in another order", "{anagram metals:A{4}}"),
+            ("iso", "letters repeat as in the given text", "{iso:abccba}"),
+            ("eq", "two captures agree", "{eq p,q:{=p:A{2}}A{=q:A{2}}}"),
+            ("rev", "a capture is another one from its end", "{rev p,q:{=p:A{4}}{=q:A{4}}}"),
+            ("shift", "a capture is another one moved along the alphabet", "{shift3 p,q:{=p:A{4}} {=q:A{4}}}"),
         ),
     ]
 }

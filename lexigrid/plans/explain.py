@@ -6,7 +6,8 @@ import re
 from itertools import combinations
 
 from lexigrid.functions import codes
-from lexigrid.operators.datasets import LISTS, Datasets
+from lexigrid.functions.lists import LISTS
+from lexigrid.operators.datasets import Datasets
 from lexigrid.operators.verify import Knowledge, Verifier
 from lexigrid.plans.catalog import CATALOG, SOFT, distance
 from lexigrid.plans.lower import Lowering, bounds
