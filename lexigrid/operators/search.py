@@ -4,31 +4,81 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.dfa import steps
 from lexigrid.operators import predicates as P
 from lexigrid.operators.datasets import Datasets
 from lexigrid.operators.verify import PIECE_SHARE, REVERSAL_SHARE, Knowledge, Verifier, verified
-from lexigrid.plans.automata import Dfa
+from lexigrid.plans.automata import CODE, Dfa
 from lexigrid.plans.catalog import RELATIONS
 from lexigrid.plans.lower import Lowered, Lowering
 from lexigrid.plans.syntax import Node, PatternError, Pred, conjuncts, has_predicate, parse, walk
+from lexigrid.sources.corpus import MAX_WORDS, load
 
 #: What each further segment costs; strings that an anagram's argument may name.
 RESTART, MOST_SET = 1e-6, 20_000
+#: Patterns whose plans are kept; searches whose rows are kept.
+PLANS, KEPT = 256, 8
 
 
 class Engine:
     """A phrase table, its side datasets, and searches over both."""
 
-    def __init__(self, table: DataFrame, data: Datasets | None = None, reverse: DataFrame | None = None, debris: bool = False):
-        """reverse: the same rows sorted by rev, for patterns that fix only their end."""
-        self.table, self.data, self.reverse, self.debris = table, data or Datasets(), reverse, debris
+    def __init__(self, table: DataFrame, data: Datasets | None = None, reverse: DataFrame | None = None, debris: bool = False, head: DataFrame | None = None):
+        """reverse: the same rows sorted by rev, for patterns that fix only their end; head: the most frequent rows, for
+        first pages."""
+        self.table, self.data, self.reverse, self.debris, self.head = table, data or Datasets(), reverse, debris, head
         self.builder = self.data.builder()
         self.lowering = Lowering(self.builder)
         self._total: int | None = None
+        self._widest: int | None = None
+        self._plans: dict[str, tuple[Node, Lowered]] = {}
+        self._kept: dict[tuple[Node, ...], DataFrame] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, data: Datasets | None = None) -> Engine:
+        """The engine of what ``corpus.store`` wrote."""
+        return cls(load(spark, f"{path}/text"), data, load(spark, f"{path}/rev"), head=load(spark, f"{path}/head"))
+
+    @property
+    def widest(self) -> int:
+        """The most words of a phrase in the table."""
+        if self._widest is None:
+            self._widest = self.table.agg(F.max("n_words")).first()[0] or 0
+        return self._widest
+
+    def planned(self, pattern: str | Node) -> tuple[Node, Lowered]:
+        """The parsed pattern and its lowering, kept for later searches; an error if it needs longer phrases than there are."""
+        if not isinstance(pattern, str):
+            return pattern, self.lowering.query(pattern)
+        if pattern not in self._plans:
+            node = parse(pattern, self.data.packs)
+            if " " in pattern or "{enum" in pattern or "{words" in pattern:
+                needed = max((least_words(self.builder, m) for m in conjuncts(node)), default=1)
+                if needed > MAX_WORDS and needed > self.widest:
+                    raise PatternError(f"the pattern needs phrases of {needed} words, and the table holds phrases of up to {self.widest}; count it with max_words={needed}")
+            if len(self._plans) >= PLANS:
+                self._plans.pop(next(iter(self._plans)))
+            self._plans[pattern] = node, self.lowering.query(node)
+        return self._plans[pattern]
+
+    def keep(self, pattern: str) -> DataFrame:
+        """Keeps the rows that match a pattern's conditions: later patterns with all its members, and more, start from them."""
+        node, plan = self.planned(pattern)
+        rows = reduce(lambda d, c: d.where(c), plan.where, self.table).persist()
+        if len(self._kept) >= KEPT:
+            self._kept.pop(next(iter(self._kept))).unpersist()
+        self._kept[tuple(conjuncts(node))] = rows
+        return rows
+
+    def _source(self, node: Node, plan: Lowered) -> DataFrame:
+        members = conjuncts(node)
+        for kept, rows in reversed(self._kept.items()):
+            if all(m in members for m in kept):
+                return rows
+        return self.reverse if self.reverse is not None and "last letters, backwards" in plan.how else self.table
 
     @property
     def total(self) -> int:
@@ -39,11 +89,10 @@ class Engine:
 
     # One segment.
 
-    def matches(self, pattern: str | Node) -> DataFrame:
-        """All rows of the table that match, with the weighted score and a note."""
-        node = parse(pattern, self.data.packs) if isinstance(pattern, str) else pattern
-        plan = self.lowering.query(node)
-        source = self.reverse if self.reverse is not None and "last letters, backwards" in plan.how else self.table
+    def matches(self, pattern: str | Node, source: DataFrame | None = None) -> DataFrame:
+        """All rows of the table (or of source, rows of it) that match, with the weighted score and a note."""
+        node, plan = self.planned(pattern)
+        source = self._source(node, plan) if source is None else source
         df = reduce(lambda d, c: d.where(c), plan.where, source)
         notes: list[str] = []
         for member in conjuncts(node):
@@ -176,6 +225,17 @@ class Engine:
         df = df.orderBy(F.desc("score"), "text")
         return df if k is None else df.limit(k)
 
+    def first_page(self, pattern: str, k: int = 20) -> DataFrame:
+        """The k best matches, from the head alone where it holds k and scores aren't weighted: then no other row beats them."""
+        _, plan = self.planned(pattern)
+        if self.head is not None and plan.weight is None:
+            page = self.matches(pattern, self.head).select("text", "score", F.lit(1).alias("segments"), "note").orderBy(F.desc("score"), "text").limit(k)
+            rows = page.collect()  # a page
+            last = self.head.agg(F.min("score")).first()[0]
+            if len(rows) == k and rows[-1]["score"] > last:  # phrases as frequent as the head's last may be missing from it
+                return self.table.sparkSession.createDataFrame(rows, page.schema)
+        return self.search(pattern, k)
+
     def probe(self, texts: list[str]) -> DataFrame:
         """(text, score, share) of given texts; those that the table lacks have 0."""
         asked = self.table.sparkSession.createDataFrame([(t,) for t in texts], "text string")
@@ -183,6 +243,29 @@ class Engine:
         return found.withColumn("share", F.col("score") / float(max(self.total, 1)))
 
 
+def least_words(builder, member: Node) -> int:
+    """The fewest words of a text that a member accepts; 1 where its automaton can't be had."""
+    try:
+        dfa = builder.dfa(member)
+    except ValueError:
+        return 1
+    space = CODE[" "]
+    words, front, seen = 1, {0}, set()
+    while front:
+        todo = list(front)
+        while todo:  # what is reached without a further space
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            todo += [int(t) for c, t in enumerate(dfa.table[at]) if t >= 0 and c != space and t not in seen]
+        if any(dfa.accept[q] for q in seen):
+            return words
+        front = {int(dfa.table[q, space]) for q in seen if dfa.table[q, space] >= 0} - seen
+        words += 1
+    return 1
+
+
 def lowered(pattern: str, data: Datasets | None = None) -> Lowered:
     data = data or Datasets()
     return Lowering(data.builder()).query(parse(pattern, data.packs))

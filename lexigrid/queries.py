@@ -6,8 +6,6 @@ is the query that pays for building it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +16,14 @@ from lexigrid.operators import predicates as P
 from lexigrid.operators.search import Engine, folded, merged
 from lexigrid.sources import corpus as C
 from lexigrid.sources import pages as G
+from lexigrid.sources.store import new_path
 from lexigrid.streaming import counts as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def phrases(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFr
     return _KEPT[key]
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over the phrase table as stored: sorted by text, sorted by letters backwards, and the head."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = new_path(spark, "phrases")
+        C.store(phrases(spark, sf_dir), _STORED[key], 20_000)
+    return Engine.open(spark, _STORED[key])
+
+
 def engine(spark: SparkSession, sf_dir: str, data: D.Datasets | None = None) -> Engine:
     return Engine(phrases(spark, sf_dir), data)
 
@@ -148,8 +157,7 @@ def _(spark, sf_dir):
 
 @query("reverse_key_suffix", f"{P3}\nSELECT text, CAST(score AS DOUBLE) AS score FROM p WHERE {LETTERS} LIKE '%tion' AND {full('[a-z]*', LETTERS)}")
 def _(spark, sf_dir):
-    table = phrases(spark, sf_dir)
-    return Engine(table, reverse=table.sort("rev")).search("A*tion", k=None).select("text", "score")
+    return stored(spark, sf_dir).search("A*tion", k=None).select("text", "score")
 
 
 @query(
@@ -158,8 +166,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """A stream over the conversations, run to its end."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexigrid-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = read(spark, sf_dir, "conversations").schema
     texts = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf_dir)
     S.start(texts, f"{base}/counts", f"{base}/checkpoint", once=True).awaitTermination()
@@ -472,3 +479,158 @@ def _(spark, sf_dir):
 
     data = D.Datasets(packs=packs.load({"name": "demo", "constructs": [{"name": "soft", "type": "letter-class", "summary": "vowels, t and h", "letters": "aeiouth"}]}))
     return engine(spark, sf_dir, data).search('{soft:"A{4}"}', k=None).select("text", "score")
+
+
+# Stored tables, plans kept, pages.
+
+
+@query("stats", P3 + "\nSELECT CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, CAST(count(*) AS BIGINT) AS phrases, CAST(sum(score) AS BIGINT) AS occurrences, CAST(max(score) AS BIGINT) AS most, CAST(max(length(text)) AS INTEGER) AS longest FROM p GROUP BY 1")
+def _(spark, sf_dir):
+    return C.stats(phrases(spark, sf_dir))
+
+
+@query("stored_table", P3 + "\nSELECT text, CAST(score AS BIGINT) AS score FROM p")
+def _(spark, sf_dir):
+    return stored(spark, sf_dir).table.select("text", "score")
+
+
+@query("first_page", f"{P3}\nSELECT text, CAST(score AS DOUBLE) AS score FROM p WHERE {full('[a-z]{4}', LETTERS)} ORDER BY score DESC, text LIMIT 20")
+def _(spark, sf_dir):
+    return stored(spark, sf_dir).first_page("A{4}", 20).select("text", "score")
+
+
+@query("refined_search", f"{P3}\nSELECT text, CAST(score AS DOUBLE) AS score FROM p WHERE {full('[a-z]{5}', LETTERS)} AND contains({LETTERS}, 'th')")
+def _(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    e.keep("A{5}")
+    return e.search("A{5}&.*th.*", k=None).select("text", "score")
+
+
+@query("five_words", "WITH " + _sql(words=3).split("p_g AS")[0].rstrip().rstrip(",") + """, g AS (SELECT unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS text FROM p_w)
+SELECT text, CAST(count(*) AS DOUBLE) AS score FROM g WHERE regexp_full_match(text, '[a-z]{2,4} [a-z]{2,4} [a-z]{2,4} [a-z]{2,4} [a-z]{2,4}') AND length(text) <= 39 GROUP BY text""")
+def _(spark, sf_dir):
+    """Phrases as long as the pattern needs: a table counted with five words."""
+    table = C.phrase_table(read(spark, sf_dir, "documents"), max_words=5).where("n_words = 5")
+    return Engine(table).search('"A{2,4} A{2,4} A{2,4} A{2,4} A{2,4}"', k=None).select("text", "score")
+
+
+# Lists and sets that patterns name.
+
+pattern("list_builtin", "{list:solfa}", "text IN ('do', 're', 'mi', 'fa', 'sol', 'la', 'ti')", 3)
+noted("anagram_pattern", '{anagram (th|ha)[ent]:"A{3}"}', f"{P1}, e(entry) AS (VALUES ('the'), ('thn'), ('tht'), ('hae'), ('han'), ('hat'))\nSELECT text, CAST(score AS DOUBLE) AS score, '← ' || entry AS note FROM p JOIN e ON {SORTED} = array_to_string(list_sort(string_split(entry, '')), '') AND text <> entry")
+
+
+@query("list_url", P1 + "\nSELECT text, CAST(score AS DOUBLE) AS score FROM p WHERE text IN ('the', 'of', 'and')")
+def _(spark, sf_dir):
+    url, path = "https://lists.example/short.txt", new_path(spark, "list")
+    spark.createDataFrame([("# short words\nThe\nof # twice\n\nAND",)], "value string").coalesce(1).write.text(path)
+    return engine(spark, sf_dir, D.Datasets(lists=D.remote_list(spark, path, url))).search(f"{{list:{url}}}", k=None).select("text", "score")
+
+
+WIKI_SQL = "'== ' || lang || ' ==' || chr(10) || '* [[' || source || '|the ' || lang || ']] {{cite}} ' || left(text, 40) || '<ref>x</ref>'"
+for _from, _to in G.WIKI_STEPS:
+    WIKI_SQL = f"regexp_replace({WIKI_SQL}, '{_from.replace(chr(39), chr(39) * 2)}', '{_to.replace('$1', chr(92) + '1')}', 'g')"
+
+
+@query("wiki_markup", f"SELECT doc_id, trim({WIKI_SQL}, ' ') AS text FROM documents")
+def _(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    markup = F.concat(F.lit("== "), "lang", F.lit(" ==\n* [["), "source", F.lit("|the "), "lang", F.lit("]] {{cite}} '''"), F.substring("text", 1, 40), F.lit("'''<ref>x</ref>"))
+    return docs.select("doc_id", G.wiki_text(markup).alias("text"))
+
+
+# Automata over columns: the algebra, on words of up to five letters.
+
+
+def algebra(name: str, make: Callable, condition: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from lexigrid.functions.dfa import accepts
+        from lexigrid.plans.syntax import parse
+
+        build = D.Datasets().builder()
+        dfa = make(lambda text: build.dfa(parse(f'"{text}"')))
+        return phrases(spark, sf_dir).where("n_words = 1 and n_letters <= 5").where(accepts(dfa, F.col("text"))).select("text", "score")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"{P1}\nSELECT text, CAST(score AS BIGINT) AS score FROM p WHERE length(text) <= 5 AND {condition}"
+
+
+def _nfa(join: str) -> Callable:
+    from lexigrid.plans.automata import Dfa, Nfa
+
+    return lambda dfa: Dfa.of(getattr(Nfa, join)([dfa("th").nfa(), dfa("A{2}").nfa()]))
+
+
+def _star(dfa):
+    from lexigrid.plans.automata import Dfa, Nfa
+
+    return Dfa.of(Nfa.repeat(dfa("(th|an|e)").nfa(), 0, None))
+
+
+def _reversed(dfa):
+    from lexigrid.plans.automata import Dfa
+
+    return Dfa.of(dfa("th[ae]A*").nfa().reversed())
+
+
+algebra("automata_union", _nfa("union"), full("th|[a-z]{2}"))
+algebra("automata_concat", _nfa("concat"), full("th[a-z]{2}"))
+algebra("automata_star", _star, full("(th|an|e)*"))
+algebra("automata_reverse", _reversed, full("[a-z]*[ae]ht"))
+algebra("automata_product", lambda dfa: dfa("A{4}").product(dfa(".*th.*")), f"{full('[a-z]{4}')} AND contains(text, 'th')")
+algebra("automata_complement", lambda dfa: dfa("A{4}").product(dfa(".*e.*").complement()), f"{full('[a-z]{4}')} AND NOT contains(text, 'e')")
+algebra("automata_minimal", lambda dfa: dfa("(tha|the|aha|ahe)").trimmed(), full("[ta]h[ae]"))
+
+
+# What the driver says of patterns and matches.
+
+
+def said(name: str, rows: Callable[[], list[tuple]], schema: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(rows(), schema)
+    ORACLES[name] = sql
+
+
+def _driver() -> tuple:
+    from lexigrid.plans import explain
+    from lexigrid.plans.automata import Dfa
+    from lexigrid.plans.syntax import PatternError, parse
+
+    def error(text: str) -> str:
+        try:
+            return str(D.Datasets().builder().dfa(parse(text))) and ""
+        except PatternError as e:
+            return str(e)
+
+    return explain, Dfa, parse, error
+
+
+said("completion", lambda: [(c,) for c in _driver()[0].complete("{list:mo")], "name string", "SELECT * FROM (VALUES ('mohs'), ('monopoly'), ('months'), ('moons')) t(name)")
+said("list_suggestion", lambda: [(q, D.Datasets.suggest_list(q, ["planets", "months", "greek"])) for q in ("planet", "mnths", "greek letters", "qqq")], "asked string, near string", "SELECT * FROM (VALUES ('planet', 'planets'), ('mnths', 'months'), ('greek letters', 'greek'), ('qqq', NULL)) t(asked, near)")
+said("diagnostics", lambda: [(p, "palindrome" in _driver()[3](p)) for p in ("{palindrone:A*}", "{palindrome:A{3}}&A{3}", "{qqqqqq:A}")], "pattern string, suggests boolean", "SELECT * FROM (VALUES ('{palindrone:A*}', true), ('{palindrome:A{3}}&A{3}', false), ('{qqqqqq:A}', false)) t(pattern, suggests)")
+said("conflict", lambda: [(p, _driver()[0].plan(p)["empty"]) for p in ("A{3}&A{4}", "A{3}&.*th.*", "th&!th", "{sum=3:A{4}}")], "pattern string, empty boolean", "SELECT * FROM (VALUES ('A{3}&A{4}', true), ('A{3}&.*th.*', false), ('th&!th', true), ('{sum=3:A{4}}', true)) t(pattern, empty)")
+said("plan", lambda: [(p, x["conjuncts"], x["verifies"], ",".join(x["missing"])) for p in ("A{5}&C*", "{palindrome:A{5}}", "{rhyme:night}&A{5}") for x in [_driver()[0].plan(p)]], "pattern string, conjuncts int, verifies boolean, missing string", "SELECT * FROM (VALUES ('A{5}&C*', 2, false, ''), ('{palindrome:A{5}}', 1, true, ''), ('{rhyme:night}&A{5}', 2, false, 'phonetic')) t(pattern, conjuncts, verifies, missing)")
+said("score_format", lambda: [(x, _driver()[0].shown_score(x)) for x in (5.0, 1234567.0, 0.25)], "score double, shown string", "SELECT CAST(score AS DOUBLE) AS score, shown FROM (VALUES (5.0, '5'), (1234567.0, '1234567'), (0.25, '0.25')) t(score, shown)")
+
+
+def paged(name: str, text: str, column: str, say: Callable[[str, str], str], sql: str) -> None:
+    """The first page of a search, each row with a sentence: as many rows as a page has go through the driver."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        page = engine(spark, sf_dir).search(text, k=50).select("text", "score").collect()
+        return spark.createDataFrame([(r["text"], r["score"], say(text, r["text"])) for r in page], f"text string, score double, {column} string")
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+paged("match_explanation", '{sum=52:"A*"}', "why", lambda p, t: "; ".join(s for _, s in _driver()[0].reasons(p, t)), f"{P1}\nSELECT text, CAST(score AS DOUBLE) AS score, 'its values make ' || CAST({SUM} AS INTEGER) AS why FROM p WHERE {WORD} AND {SUM} = 52 ORDER BY score DESC, text LIMIT 50")
+paged("derived_notes", "{caesar:wkh}", "note", lambda p, t: _driver()[0].derived_note(p, t), f"{P3}\nSELECT text, CAST(score AS DOUBLE) AS score, 'shift +' || CAST((ascii(text) - 119 + 26) % 26 AS INTEGER) AS note FROM p WHERE {ORACLES['caesar'].split(' WHERE ', 1)[1].rpartition('WHERE ')[2]} ORDER BY score DESC, text LIMIT 50")
+
+
+@query("manifest", "SELECT 'A demo' AS description, 'de' AS language, true AS transliterate, 'strasse' AS pattern")
+def _(spark, sf_dir):
+    from lexigrid.sources.manifest import Manifest
+
+    path = new_path(spark, "manifest")
+    Manifest("A demo", "de", True).save(spark, path)
+    m = Manifest.load(spark, path)
+    return spark.createDataFrame([(m.description, m.language, m.transliterate, m.query("stra\u00dfe"))], "description string, language string, transliterate boolean, pattern string")

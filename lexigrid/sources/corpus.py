@@ -88,10 +88,25 @@ def dump(table: DataFrame) -> DataFrame:
     return table.orderBy("text").select(F.format_string("%5d [%s ]", "score", "text").alias("line"))
 
 
+def stats(table: DataFrame) -> DataFrame:
+    """What a table holds: by number of words the phrases, their occurrences, the most frequent's, and the longest's length."""
+    return table.groupBy("n_words").agg(
+        F.count("*").alias("phrases"), F.sum("score").alias("occurrences"), F.max("score").alias("most"), F.max(F.length("text")).alias("longest")
+    )
+
+
 def save(table: DataFrame, path: str) -> None:
     """Writes a table sorted by text, so that literal prefixes prune row groups."""
     table.sort("text").write.mode("overwrite").parquet(path)
 
 
+def store(table: DataFrame, path: str, head_size: int = 500_000) -> None:
+    """Writes a table three ways: sorted by text, sorted by its letters backwards (for patterns that fix their end), and its
+    most frequent phrases (for first pages)."""
+    save(table, f"{path}/text")
+    table.sort("rev").write.mode("overwrite").parquet(f"{path}/rev")
+    head(table, head_size).write.mode("overwrite").parquet(f"{path}/head")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
