@@ -30,6 +30,10 @@ def titled_lines(texts: DataFrame, column: str = "text", weight: int = TITLE_WEI
 
 def counted(line_weights: DataFrame, max_words: int = MAX_WORDS, min_count: int = 1) -> DataFrame:
     """(text, score): the n-grams of up to max_words words and 39 characters that occur at least min_count times."""
+    spark = line_weights.sparkSession
+    if not line_weights.isStreaming and line_weights.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # A file of few row groups: its lines are dealt to all cores before each becomes many n-grams.
+        line_weights = line_weights.repartition(spark.sparkContext.defaultParallelism)
     segments = line_weights.select(F.explode(F.split(normal(F.col("line")), "\n")).alias("segment"), "weight")
     rows = segments.select(words(F.col("segment")).alias("w"), "weight").where(F.size("w") > 0)
     grams = [F.col("w")]
