@@ -3,53 +3,42 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.sources.store import new_path
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Where neither is set, a new local folder in local mode (tests), and an error on a cluster.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrid-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; removed when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; removed when the driver's interpreter ends, or before."""
     if not _STAGED:
-        atexit.register(_drop_staged)
-    _STAGED.append((spark, path))
-    return path
+        atexit.register(drop_staged)
+    _STAGED.append((spark, new_path(spark, name)))
+    return _STAGED[-1][1]
+
+
+def staged_paths() -> list[str]:
+    return [path for _, path in _STAGED]
 
 
-def _drop_staged() -> None:
-    for spark, path in _STAGED:
+def drop_staged(paths: list[str] | None = None) -> None:
+    """Removes these staged paths, or all: for when what reads them has been written."""
+    for spark, path in [x for x in _STAGED if paths is None or x[1] in paths]:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:
             return  # the session has ended: whoever owns the shared folder clears it
+        _STAGED.remove((spark, path))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -70,11 +59,16 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 16 <<
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """(n, row) of each row of docs, staged: n is the row's own number, row all its columns.
+    """(n, row) of each row of docs: n names the row, row holds all its columns, so what repeats an id, or has none, stays apart.
 
-    Numbers rise with the partition, so they are fixed once written; what repeats an id, or has none, stays apart.
+    Rows read straight from files are named by file and place there, which no retry changes; others are staged first,
+    with a number that rises with the partition.
     """
-    return staged(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row")), name)
+    row = F.struct("*").alias("row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in map(str.lower, docs.columns):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select(place.alias("n"), row)
+    return staged(docs.select(F.monotonically_increasing_id().alias("n"), row), name)
 
 
 def words_of(text: Column) -> Column:

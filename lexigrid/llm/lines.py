@@ -10,7 +10,7 @@ by hash, and tiles are compared pairwise; a pair of tiles returns a spanning for
 lines already joined in it are not verified again. Both ways are exact: no link between different lines is lost.
 
 Of all lines of a class the first occurrence stays, in the order of doc_id (rows without one last), then of the rows'
-own numbers, then of the lines in the text.
+names (see ``numbered``), then of the lines in the text.
 
 Defined results: null text has no line; lines without a word are never duplicates, and stay where any other line does;
 every row is a document of its own, whether it repeats a doc_id or has none, so of two equal rows the later loses its
