@@ -74,9 +74,11 @@ def disclosing(held: DataFrame, docs: DataFrame, threshold: float, min_support:
     each = rows.join(entities, "entity").select("key", "entity", "of", "n_e", F.explode(_terms(F.col("text"))).alias("term"))
     joint = each.groupBy("entity", "n_e", "term", "of").agg(F.count("*").alias("c")).groupBy("entity", "n_e", "term")
     joint = staged(joint.agg(F.sum("c").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= min_support), "joint")
-    wanted = joint.select("term").distinct()
+    # Staged, so that its size is known: where it can be broadcast, Catalyst moves the semi join below the counts, and else
+    # each task sends a term once.
+    wanted = staged(joint.select("term").distinct(), "terms")
     words = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    df_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df_t = words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
     n = F.lit(float(docs.count()))
     pmi = F.log2(n * F.col("n_te") / (F.col("df") * F.col("n_e")))
     scored = joint.join(df_t, "term").where((F.col("n_e") < n) & (pmi >= threshold * F.log2(n / F.col("n_e"))))
