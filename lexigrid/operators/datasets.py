@@ -65,9 +65,44 @@ def remote_list(spark: SparkSession, path: str, url: str) -> DataFrame:
     return kept.where(F.col("entry") != "").orderBy("pos").limit(MOST_LIST + 1)  # one too many, so that the lookup refuses it
 
 
+def read_senses(spark: SparkSession, path: str, files: str = "data.*") -> DataFrame:
+    """(key, words, below) from the files data.noun, data.verb, data.adj and data.adv of a lexical database's folder.
+
+    A line is "offset file pos count word id ... pointers symbol offset pos nn ... | gloss", the words' count in hex; the
+    licence above is indented. key is "pos:offset", below the keys that a pointer "~" leads to.
+    """
+    rows = spark.read.option("pathGlobFilter", files).text(path).where("value <> '' and value not like ' %'")
+    f = F.split(F.substring_index("value", " | ", 1), " ")
+    parsed = rows.select(f.alias("f"), F.conv(F.get(f, F.lit(3)), 16, 10).cast("int").alias("n")).where("n > 0")
+    at = F.col("n") * 2 + 4
+    links = F.coalesce(F.get("f", at).try_cast("int"), F.lit(0))
+    every = lambda count, width, first: F.transform(F.slice(F.sequence(F.lit(0), count), F.lit(1), count), lambda i: first + i * width)
+    names = F.transform(every(F.col("n"), 2, F.lit(4)), lambda k: entry(F.regexp_replace(F.get("f", k), r"\(\w+\)$", "")))
+    down = F.filter(every(links, 4, at + 1), lambda k: F.get("f", k) == "~")
+    below = F.transform(down, lambda k: F.concat_ws(":", F.get("f", k + 2), F.get("f", k + 1)))
+    key = F.concat_ws(":", F.get("f", F.lit(2)), F.get("f", F.lit(0)))
+    words = F.array_distinct(F.filter(names, lambda w: w != ""))
+    return parsed.select(key.alias("key"), words.alias("words"), below.alias("below")).where(F.size("words") > 0)
+
+
 # Builders.
 
 
+def build_thesaurus(senses: DataFrame) -> DataFrame:
+    """thesaurus from (key, words): the senses that have two words or more."""
+    groups = senses.where(F.size("words") > 1)
+    return groups.select(F.xxhash64("key").alias("group_id"), F.explode("words").alias("word"))
+
+
+def build_kinds(senses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sense, edge) from (key, words, below) of nouns and verbs; edges to senses that aren't there are left out."""
+    own = senses.where(F.substring("key", 1, 1).isin("n", "v"))
+    sense = own.select(F.xxhash64("key").alias("sense_id"), F.explode("words").alias("name"))
+    edge = own.select(F.xxhash64("key").alias("parent"), F.explode("below").alias("child"))
+    edge = edge.join(own.select(F.col("key").alias("child")), "child", "left_semi")
+    return sense, edge.select("parent", F.xxhash64("child").alias("child"))
+
+
 def build_phonetics(pronunciations: DataFrame) -> DataFrame:
     """phonetic from (word, phones array): rhymes share all from the last stressed vowel on, homophones everything."""
     stressed = F.expr("greatest(1, coalesce(array_max(transform(phones, (p, i) -> if(p rlike '[12]$', i + 1, null))), 1))")

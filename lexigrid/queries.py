@@ -185,7 +185,7 @@ def _(spark, sf_dir):
 
 @query(
     "list_harvest",
-    f"""{P3}, h AS (SELECT page_id, unnest(regexp_extract_all(html, '{G.ITEM}', 1)) AS raw FROM pages),
+    f"""{P3}, h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '{G.ENDING}', ''), '{G.ITEM}', 1)) AS raw FROM pages),
 e AS (SELECT DISTINCT page_id, trim(regexp_replace(replace(lower(raw), '''', ''), '[^a-z0-9]+', ' ', 'g')) AS entry FROM h),
 c AS (SELECT entry, CAST(count(*) AS BIGINT) AS pages FROM e WHERE entry <> '' AND length(entry) <= 25 AND len(string_split(entry, ' ')) <= 3 GROUP BY entry)
 SELECT entry, pages, CAST(coalesce(p.score, 0) AS BIGINT) AS score FROM c LEFT JOIN p ON c.entry = p.text""",
@@ -364,6 +364,29 @@ def _(spark, sf_dir):
     return D.kind_names(*_graph(spark, sf_dir), "asia")
 
 
+def _senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions over nations, as a dictionary's lines written and read."""
+    joined = lambda c: F.translate(c, " ", "_")
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey") + 1000, "n_name", "n_regionkey").toDF("n", "name", "r")
+    below = nation.groupBy("r").agg(F.array_sort(F.collect_list(F.format_string("~ %08d n 0000", "n"))).alias("b"))  # nations are few
+    region = read(spark, sf_dir, "region").join(below, F.col("r") == F.col("r_regionkey"))
+    top = region.select(F.format_string("%08d 15 n 02 %s 0 %s_region 0 %03d %s | a region", "r_regionkey", joined("r_name"), joined("r_name"), F.size("b"), F.array_join("b", " ")).alias("value"))
+    leaf = nation.select(F.format_string("%08d 15 n 01 %s 0 000 | a nation", "n", joined("name")).alias("value"))
+    path = new_path(spark, "dict")
+    top.union(leaf).coalesce(1).write.text(path)
+    return D.read_senses(spark, path, "part-*")
+
+
+@query("thesaurus_build", "SELECT unnest([lower(r_name), lower(r_name) || ' region']) AS word FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def _(spark, sf_dir):
+    return D.build_thesaurus(_senses(spark, sf_dir)).select("word")
+
+
+@query("kind_build", "SELECT unnest(['asia', 'asia region']) AS entry UNION ALL SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def _(spark, sf_dir):
+    return D.kind_names(*D.build_kinds(_senses(spark, sf_dir)), "asia")
+
+
 @query("group_lookup", "SELECT DISTINCT p_name AS entry FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_name = 'small ring')")
 def _(spark, sf_dir):
     groups = read(spark, sf_dir, "part").select(F.col("p_brand").alias("group_id"), F.col("p_name").alias("word"))

@@ -244,6 +244,30 @@ def test_pages(spark):
     assert wiki.select(G.wiki_text(wiki["m"])).first()[0] == "Head\nBold b c  site"
 
 
+def test_harvest_ends_and_dump(spark, tmp_path):
+    html = "<ul><li><a href='/a'>Alpha</a></li></ul><h2><span>See also</span></h2><ul><li><a href='/b'>Beta</a></li></ul>"
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert [r["entry"] for r in G.harvested(df).collect()] == ["alpha"]
+    page = "<page><title>{}</title><ns>{}</ns>{}<revision><text{}>{}</text></revision></page>"
+    pages = [("One", 0, "", ' bytes="9" xml:space="preserve"', "'''Bold''' &amp; [[x]]"), ("Two", 0, "", "", "plain"), ("Old", 0, '<redirect title="One" />', "", "#R"), ("Talk:One", 1, "", "", "chat")]
+    (tmp_path / "dump.xml").write_text("<mediawiki>\n" + "\n".join(page.format(*p) for p in pages) + "\n</mediawiki>\n")
+    assert {(r["title"], r["text"]) for r in G.read_dump(spark, str(tmp_path / "dump.xml")).collect()} == {("One", "'''Bold''' & [[x]]"), ("Two", "plain")}
+
+
+def test_senses(spark, tmp_path):
+    (tmp_path / "data.noun").write_text(
+        "  1 a licence, indented\n00000010 05 n 02 domestic_dog 0 Dog's 1 003 @ 00000001 n 0000 ~ 00000020 n 0000 ~ 00000099 n 0000 | an animal\n00000020 05 n 01 puppy 0 000 | young | one\n"
+    )
+    (tmp_path / "data.adj").write_text("00000030 00 s 02 able(p) 0 capable 0 000 | fit\n")
+    senses = D.read_senses(spark, str(tmp_path))
+    groups: dict = {}
+    for r in D.build_thesaurus(senses).collect():
+        groups.setdefault(r["group_id"], set()).add(r["word"])
+    assert sorted(map(sorted, groups.values())) == [["able", "capable"], ["dogs", "domestic dog"]]
+    sense, edge = D.build_kinds(senses)
+    assert {r[0] for r in D.kind_names(sense, edge, "dogs").collect()} == {"dogs", "domestic dog", "puppy"} and edge.count() == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     for k, line in enumerate(GOLDEN):
