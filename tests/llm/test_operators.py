@@ -511,6 +511,19 @@ def test_terms_against_brute_force(spark, docs):
     assert got == want and want
 
 
+def test_terms_with_and_without_broadcast(spark, docs):
+    rng = random.Random(36)
+    texts = [" ".join([*prose(rng, 30).split(), *(["zorblax", f"p{k % 2}@x.example"] if k % 4 == 0 else [])]) for k in range(40)]
+    terms = lambda: sorted((r["doc_id"], t["start"], t["end"]) for r in pii.pii_spans(docs(texts)).collect() for t in r["term"])
+    small = terms()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert terms() == small and len(small) >= 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_few_made_tokens_are_reported(spark):
     rng = random.Random(35)
     words = "apple river stone cloud green bright silver mountain winter summer yellow forest garden window bridge castle".split()
