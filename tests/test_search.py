@@ -278,3 +278,15 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got == grams(GOLDEN[: k + 1])
     S.compact(spark, str(tmp_path / "out"), str(tmp_path / "small"))
     assert S.current(spark, str(tmp_path / "small")).count() == len(grams(GOLDEN))
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_of_a_file_or_a_folder(spark, tmp_path, parts):
+    from lexigrid.queries import QUERIES
+
+    said = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(GOLDEN)], "conv_id long, turn long, role string, text string")
+    said.repartition(parts or 1, "conv_id").write.parquet(str(tmp_path / "conversations.parquet" if parts else tmp_path / "written"))
+    if not parts:
+        next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    spark.createDataFrame([("not read",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["text"]: r["score"] for r in QUERIES["incremental_counts"](spark, str(tmp_path)).collect()} == grams(GOLDEN)
