@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import connected_components, pieces, staged
-from lexigrid.llm.neardup import near_components
 
 SEED = 42
 #: Blocks of a fingerprint, by the number of distinct fingerprints up to which they are used; any gives the same links.
@@ -41,8 +40,13 @@ def simhash(data: bytes, n: int = 3) -> int:
         shingles = iter([b" ".join(words)])
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
-    digest, total, counts = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - n + 1))
+    digest = xxhash.xxh64_intdigest
+    return fingerprint(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, max(1, len(words) - n + 1)))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    total, counts = 0, np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a very long text in pieces
         part = hashes[at : at + (1 << 16)]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each linked node to the least node of its local component."""
     label = np.arange(n)
     while True:
@@ -91,7 +95,7 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray
     if not len(both):
         return both, both
     half = len(where) // 2
-    u, v = _forest(where[:half], where[half:], len(both))
+    u, v = forest(where[:half], where[half:], len(both))
     return both[u], both[v]
 
 
@@ -173,6 +177,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Ids are unique in documents; of rows that repeat an id all stay or none, and rows without an id, which nothing tells
     apart, stay if any of them is in a component without ids.
     """
+    from lexigrid.llm.neardup import near_components  # which uses this module
+
     found = near_components(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")

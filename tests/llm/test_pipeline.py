@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from lexigrid.llm import neardup
+from lexigrid.llm import neardup, simhash
 from tests.llm.test_operators import prose
 
 
@@ -59,3 +61,41 @@ def test_near_copies_in_several_tiles(spark, docs, monkeypatch):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontamination", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_come_from_fingerprints(spark, docs, monkeypatch):
+    """The stage is operator 1's method, wider: its candidates are pairs of near fingerprints, all of them."""
+    assert neardup.fingerprint is simhash.fingerprint
+    rng = random.Random(24)
+    texts = []
+    for _ in range(30):
+        words = prose(rng, 150).split()
+        texts.append(words)
+        for changes in (1, 2, 3):
+            texts.append([f"z{k}" if k in set(rng.sample(range(150), changes)) else w for k, w in enumerate(words)])
+    sets = [neardup.shingles(neardup.word_hashes(" ".join(w).encode())) for w in texts]
+    prints = [neardup.prints(neardup.shingles(neardup.word_hashes(" ".join(w).encode()), 2)) for w in texts]
+    keys = range(1000, 1000 + len(texts))
+    tile = np.array([keys, *zip(*prints, strict=True)], np.uint64)
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if bool(neardup.near(*(np.array([x], np.uint64) for x in prints[i]), *map(np.uint64, prints[j]))[0])}
+    assert {(i, j) for i in range(len(texts)) for j in range(i) if neardup.similar(sets[i], sets[j])} <= close
+    want = groups(range(len(texts)), close)
+    u, v = neardup.compare_prints(tile)
+    assert groups(range(len(texts)), zip(u.tolist(), v.tolist(), strict=True), 1000) == want
+    monkeypatch.setattr(neardup, "AT_ONCE", 300)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 25)
+    rows = [(k, *(x - 2**64 if x >= 2**63 else x for x in p), neardup.band(len(s))) for k, p, s in zip(keys, prints, sets, strict=True)]
+    found = neardup.candidate_links(spark.createDataFrame(rows, "key long, first long, second long, band long")).collect()
+    assert groups(range(len(texts)), [(r["u"], r["v"]) for r in found], 1000) == want
+
+
+def groups(nodes, links, shift=0):
+    root = {n: n for n in nodes}
+    for u, v in links:
+        a, b = root[u - shift], root[v - shift]
+        root = {n: min(a, b) if r in (a, b) else r for n, r in root.items()}
+    return root
+
+
+def test_bands_hold_similar_sizes():
+    assert all(neardup.band(n * 5 // 4) - neardup.band(n) in (0, 1) for n in range(1, 30_000))
