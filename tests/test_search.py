@@ -290,3 +290,20 @@ def test_stream_of_a_file_or_a_folder(spark, tmp_path, parts):
         next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
     spark.createDataFrame([("not read",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["text"]: r["score"] for r in QUERIES["incremental_counts"](spark, str(tmp_path)).collect()} == grams(GOLDEN)
+
+
+def test_stored_files_hold_no_derived_columns(spark, tmp_path):
+    made, path = table(spark, GOLDEN), str(tmp_path / "t")
+    C.store(made, path, 5)
+    assert [spark.read.parquet(f"{path}/{k}").columns for k in ("text", "rev", "head")] == [["text", "score"], ["text", "score", "rev"], ["text", "score"]]
+    e = Engine.open(spark, path)
+    for t in (e.table, e.reverse):
+        assert t.schema.names == made.schema.names and sorted(t.collect()) == sorted(made.collect())
+
+
+def test_counts_by_longest_ngrams(spark):
+    lines = ["a b a b a b", "a", "a b", "x" * 39 + " y z", "p " + "q" * 36 + " r s", "k " * 30, "u" * 41 + " v"]
+    df = spark.createDataFrame([("\n".join(lines),)], "text string")
+    for most in (1, 2, 3, 5):
+        rows = C.counted(C.lines(df), most).collect()
+        assert len(rows) == len({r["text"] for r in rows}) and {r["text"]: r["score"] for r in rows} == grams(lines, most)
