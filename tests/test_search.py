@@ -307,3 +307,13 @@ def test_counts_by_longest_ngrams(spark):
     for most in (1, 2, 3, 5):
         rows = C.counted(C.lines(df), most).collect()
         assert len(rows) == len({r["text"] for r in rows}) and {r["text"]: r["score"] for r in rows} == grams(lines, most)
+
+
+@pytest.mark.parametrize("pattern, want", [("{syllables>=2:A*}", ["quick dog", "the quick", "the quick dog"]), ("{stress 01:A*}", ["the quick"])])
+def test_stress_deals_out_only_what_may_match(spark, monkeypatch, pattern, want):
+    met, shapes = [], P.shapes
+    monkeypatch.setattr(P, "shapes", lambda df, stress: met.append(df) or shapes(df, stress))
+    data = D.Datasets(stress=spark.createDataFrame([("the", "0"), ("dog", "1"), ("quick", "1")], "word string, shape string"))
+    found = Engine(table(spark, GOLDEN), data).search(pattern, k=None).select("text").collect()
+    assert sorted(r["text"] for r in found) == want
+    assert {r["text"] for r in met[0].select("text").collect()} == {"the", "dog", "quick", "the quick", "the quick dog", "quick dog", "the lazy dog"}
