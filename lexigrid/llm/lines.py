@@ -21,6 +21,7 @@ other, and a very long line meets only lines within radius of its length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import connected_components, numbered, pieces, staged
 
 RADIUS, LEAST_CHARS, BUCKET, TILE = 2, 24, 48, 128
+#: Rows that a worker gathers before it sends them on: what it holds doesn't grow with a document, or with a batch.
+HELD = 1 << 16
 #: Slices into which the places of a line are dealt, so that a line of a third of all rows is no single task's work.
 SALTS = 64
 STRIP = " \t\n\v\f\r"
@@ -66,12 +69,18 @@ def layout(n: int, radius: int, least: int) -> list[tuple[int, int, int, int]]:
 
 def _key_batches(radius: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, known, seen = xxhash.xxh64_intdigest, {}, set()
+        digest, known, seen, keys, lines = xxhash.xxh64_intdigest, {}, set(), [], []
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, lines)], ["key", "line"])
+            keys.clear()
+            lines.clear()
+            return out
+
         for batch in pieces(batches):
-            keys, lines = [], []
             for text in batch.column(0).to_pylist():
-                for line in text.split("\n") if text else ():
-                    line = line.strip(STRIP)
+                for found in re.finditer(r"[^\n]+", text or ""):
+                    line = found[0].strip(STRIP)
                     n = len(line)
                     if n < least:
                         continue
@@ -82,13 +91,14 @@ def _key_batches(radius: int, least: int):
                     for seed, at, size, role in known.get(n) or known.setdefault(n, layout(n, radius, least)):
                         keys.append(digest(line[at : at + size].encode(), seed) & ~3 | role)
                         lines.append(own)
-            if len(seen) > 200_000:
-                seen.clear()
-            if len(known) > 5_000:
-                known.clear()
-            if keys:
-                out = pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, lines)], ["key", "line"])
-                yield from (out.slice(k, 1 << 16) for k in range(0, len(out), 1 << 16))
+                    if len(keys) >= HELD:
+                        yield sent()
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    if len(known) > 5_000:
+                        known.clear()
+        if keys:
+            yield sent()
 
     return run
 
@@ -188,7 +198,7 @@ def within(a: str, b: str, radius: int) -> bool:
 
 def _verify_batches(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = pa.array([within(x, y, radius) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
@@ -206,8 +216,15 @@ def _profile(texts: list[str]) -> np.ndarray:
 
 def _tile_batches(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
+        u, v = [], []
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u.clear()
+            v.clear()
+            return out
+
+        for batch in pieces(batches, rows=1):  # a pair of tiles
             for row in batch.to_pylist():
                 a, b = row["a"], row["b"]
                 lines, texts = [x["line"] for x in a + b], [x["text"] for x in a + b]
@@ -226,7 +243,10 @@ def _tile_batches(radius: int):
                             root[find(j)] = find(i)
                             u.append(lines[i])
                             v.append(lines[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            if len(u) >= HELD:
+                yield sent()
+        if u:
+            yield sent()
 
     return run
 

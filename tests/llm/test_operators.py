@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -334,6 +336,29 @@ def test_large_buckets_meet_in_tiles(spark, docs):
     assert got == 129, rng
 
 
+def _peak(run, batch):
+    """MB that Python takes at most while the function goes through the batch, and the rows it sends."""
+    tracemalloc.start()
+    try:
+        rows = sum(len(out) for out in run(iter([batch])))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_line_workers_hold_little_whatever_the_document_and_batch():
+    line = "{:06d} a line of a very long document"
+    text = "\n".join(map(line.format, range(40_000)))
+    peak, rows = _peak(lines._key_batches(2, 24), pa.RecordBatch.from_arrays([pa.array([text, None, ""])], ["text"]))
+    assert rows == 40_000 * len(lines.layout(len(line.format(0)), 2, 24)) and peak < 16
+    kind = pa.list_(pa.struct([("line", pa.int64()), ("text", pa.string())]))
+    a, b = ([[{"line": 10_000 * k + side + j, "text": f"{k} {'ab'[side // 10]} {'xyz'[j] * 30}"} for j in range(3)] for k in range(6_000)] for side in (0, 10))
+    batch = pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+    del a, b
+    peak, rows = _peak(lines._tile_batches(2), batch)
+    assert rows == 18_000 and peak < 4
+
+
 def test_language(spark, folder, docs):
     rng = random.Random(16)
     sounds = {"aa": "kstp", "bb": "lmnr", "cc": "dgbv"}
